@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import mixing, ngram_join, pivots, sharding, tokens
+from vecloom.llm import mixing, ngram_join, phrases, pivots, sharding, tokens
 from vecloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items")
+    )
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -41,6 +49,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_ngram_join": op3_ngram_join,
+        "op5_decontaminate": op5_decontaminate,
         "op7_near_vectors": op7_near_vectors,
         "op9_shard": op9_shard,
         "op10_token_ids": op10_token_ids,
