@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import mixing, ngram_join, phrases, pivots, sharding, tokens
+from vecloom.llm import mixing, ngram_join, phrases, pivots, secrets, sharding, tokens
 from vecloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE_RULES]
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(of(*base)), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -48,6 +56,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_find_secrets": op2_find_secrets,
         "op3_ngram_join": op3_ngram_join,
         "op5_decontaminate": op5_decontaminate,
         "op7_near_vectors": op7_near_vectors,
