@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import mixing, ngram_join, phrases, pivots, secrets, sharding, tokens, toxicity
+from vecloom.llm import licences, lines, mixing, ngram_join, phrases, pivots, secrets, sharding, tokens, toxicity
 from vecloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_find_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(table(spark, sf_dir, "documents"), threshold=0.8)
+    names = F.array_join(F.transform("licences", lambda x: x["licence"]), ",")
+    best = F.coalesce(F.array_max(F.transform("licences", lambda x: x["dice"])), F.lit(0.0))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), names.alias("licences"), best.alias("best_dice"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
@@ -38,6 +45,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.find_lines(table(spark, sf_dir, "documents"), percent=80)
+    gone = F.array_except("long_lines", "kept_lines")
+    return found.select("doc_id", "n_lines", F.size("long_lines").cast("long").alias("n_long"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -62,7 +75,9 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": op1_mix_sources,
         "op2_find_secrets": op2_find_secrets,
         "op3_ngram_join": op3_ngram_join,
+        "op4_find_licences": op4_find_licences,
         "op5_decontaminate": op5_decontaminate,
+        "op6_dedup_lines": op6_dedup_lines,
         "op7_near_vectors": op7_near_vectors,
         "op8_toxicity": op8_toxicity,
         "op9_shard": op9_shard,

@@ -194,26 +194,50 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([np.array(r["features"], dtype=np.int64).astype(np.uint64) for r in data], np.array([r["label"] for r in data]), np.concatenate([chosen, identity]), swap_penalty=swap_penalty)
 
 
+def _scorer(spark, model: ToxicityModel):
+    """A function from a column of texts to scores, with the model sent to the executors once."""
+    order = np.argsort(model.features)
+    shared = spark.sparkContext.broadcast((model.features[order], model.weights[order], model.intercept))
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        features, weights, intercept = shared.value
+        out = [np.empty(0)]
+        for i, j, data, ends in text_slices(texts):
+            if not len(features):
+                out.append(np.full(j - i, _sigmoid(np.array([intercept]))[0]))
+                continue
+            doc, h = _features(data, ends, features)
+            pair = np.unique(doc * len(features) + np.searchsorted(features, h))
+            out.append(_sigmoid(np.bincount(pair // len(features), weights=weights[pair % len(features)], minlength=j - i) + intercept))
+        return np.concatenate(out)
+
+    return scores
+
+
 def score(df: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_crc32 and score (0 to 1) of every row; null and empty texts get the score of a text without features."""
-    order = np.argsort(model.features)
-    shared = df.sparkSession.sparkContext.broadcast((model.features[order], model.weights[order], model.intercept))
+    scores = _scorer(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weights, intercept = shared.value
         for batch in batches:
-            out = []
-            for i, j, data, ends in text_slices(batch.column(2)):
-                doc, h = _features(data, ends, features) if len(features) else (np.empty(0, np.int64), np.empty(0, np.uint64))
-                pair = np.unique(doc * len(features) + np.searchsorted(features, h))
-                out.append(_sigmoid(np.bincount(pair // max(1, len(features)), weights=weights[pair % max(1, len(features))], minlength=j - i) + intercept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([*out, np.empty(0)]), pa.float64())], names=["id", "text_crc32", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores(batch.column(2)), pa.float64())], names=["id", "text_crc32", "score"])
 
     rows = df.select(F.col(id_col).alias("id"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     return rows.mapInArrow(run, f"id {kind}, text_crc32 long, score double").withColumnRenamed("id", id_col)
 
 
+def keep_below(df: DataFrame, model: ToxicityModel, threshold: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is below ``threshold``, with all their columns; no row moves."""
+    scores, at = _scorer(df.sparkSession, model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from; a null id is none of them."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
