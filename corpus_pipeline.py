@@ -35,15 +35,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     best = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_crc32")).alias("best"))
     stay = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.text_crc32").alias("text_crc32"))
     gone = groups.select("doc_id", "text_crc32").distinct().exceptAll(stay)
-    gone = space.save(gone.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")), "gone")
-    left = join_bounded(docs, gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (_crc() == gone["_crc"]), "left_anti", DECISIONS_TO_BROADCAST)
+    gone = space.save(gone.select(F.col("doc_id").alias("_vl_id"), F.col("text_crc32").alias("_vl_crc")), "gone")
+    left = join_bounded(docs, gone, docs["doc_id"].eqNullSafe(gone["_vl_id"]) & (_crc() == gone["_vl_crc"]), "left_anti", DECISIONS_TO_BROADCAST)
     # rows alike in id and text are one group: all but one go
     repeats = groups.groupBy("doc_id", "text_crc32").agg(F.count("*").alias("n")).filter("n > 1")
     if repeats.limit(1).count():
-        repeats = space.save(repeats.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")), "repeats")
-        same = left["doc_id"].eqNullSafe(repeats["_id"]) & (_crc() == repeats["_crc"])
-        once = join_bounded(left, repeats, same, "left_semi", DECISIONS_TO_BROADCAST).withColumn("_key", _crc())
-        left = join_bounded(left, repeats, same, "left_anti", DECISIONS_TO_BROADCAST).unionByName(once.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+        repeats = space.save(repeats.select(F.col("doc_id").alias("_vl_id"), F.col("text_crc32").alias("_vl_crc")), "repeats")
+        same = left["doc_id"].eqNullSafe(repeats["_vl_id"]) & (_crc() == repeats["_vl_crc"])
+        once = join_bounded(left, repeats, same, "left_semi", DECISIONS_TO_BROADCAST).withColumn("_vl_key", _crc())
+        left = join_bounded(left, repeats, same, "left_anti", DECISIONS_TO_BROADCAST).unionByName(once.dropDuplicates(["doc_id", "_vl_key"]).drop("_vl_key"))
     return left.select(*docs.columns)
 
 
@@ -51,22 +51,22 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with any occurrence of ten benchmark words in a row go."""
     space = Workspace(spark, "leaks")
     found = phrases.find_phrases(docs, table(spark, sf_dir, "benchmark"), window=10)
-    hit = space.save(found.filter("n_hit > 0").select(F.col("row_key").alias("_row_key")).distinct(), "hit")
-    return join_bounded(docs, hit, F.xxhash64("doc_id", "text") == hit["_row_key"], "left_anti", DECISIONS_TO_BROADCAST).select(*docs.columns)
+    hit = space.save(found.filter("n_hit > 0").select(F.col("row_key").alias("_vl_row_key")).distinct(), "hit")
+    return join_bounded(docs, hit, F.xxhash64("doc_id", "text") == hit["_vl_row_key"], "left_anti", DECISIONS_TO_BROADCAST).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or more."""
     space = Workspace(spark, "mixed")
     taken = mixing.mix_sources(docs).filter("copies > 0")
-    names = {"doc_id": "_id", "source": "_source", "text_crc32": "_crc", "size": "_size"}
+    names = {"doc_id": "_vl_id", "source": "_vl_source", "text_crc32": "_vl_crc", "size": "_vl_size"}
     # rows alike in all these are alike in how they may be taken: their copies add up on one of them
-    copies = taken.groupBy(*names).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    copies = taken.groupBy(*names).agg(F.sum("copies").alias("_vl_copies"), F.count("*").alias("_vl_rows"))
     copies = space.save(copies.withColumnsRenamed(names), "copies")
-    same = docs["doc_id"].eqNullSafe(copies["_id"]) & docs["source"].eqNullSafe(copies["_source"]) & (_crc() == copies["_crc"])
-    alike = copies.filter("_rows > 1").limit(1).count()
+    same = docs["doc_id"].eqNullSafe(copies["_vl_id"]) & docs["source"].eqNullSafe(copies["_vl_source"]) & (_crc() == copies["_vl_crc"])
+    alike = copies.filter("_vl_rows > 1").limit(1).count()
     joined = join_bounded(docs.dropDuplicates(["doc_id", "source", "text"]) if alike else docs, copies, same, "inner", DECISIONS_TO_BROADCAST)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn("_vl_copy", F.explode(F.sequence(F.lit(1), F.col("_vl_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

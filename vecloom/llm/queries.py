@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import licences, lines, mixing, ngram_join, phrases, pivots, secrets, sharding, tokens, toxicity
+from vecloom.llm import licences, lines, mixing, ngram_join, oracles, phrases, pivots, secrets, sharding, tokens, toxicity
 from vecloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items")
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
@@ -86,4 +86,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_find_secrets": oracles.find_secrets(),
+        "op3_ngram_join": oracles.ngram_join(4, 85),
+        "op5_decontaminate": oracles.decontaminate(10),
+    }

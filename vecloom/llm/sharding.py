@@ -74,9 +74,10 @@ def shuffle_into_shards(df: DataFrame, keys: list[Column], n_shards: int = 16, s
 
     ``keys`` describe a row; rows alike in all of them are interchangeable and
     may repeat, nulls included. Counts of shards differ by at most one. An empty
-    table stays empty. Columns named like the internal ones (which begin with
-    ``_sh_``), or shard and slot, must not be in ``df``. Reruns agree.
+    table stays empty. Columns of ``df`` named shard or slot are replaced; names
+    that begin with ``_sh_`` are ours. Reruns agree.
     """
+    df = df.drop("shard", "slot")
     spark = df.sparkSession
     keyed = df.withColumn("_sh_first", uniform_key(seed, *keys)).withColumn("_sh_second", uniform_key(seed + 1, *keys))
     n = keyed.select("_sh_first").count()
@@ -100,7 +101,7 @@ def shuffle_into_shards(df: DataFrame, keys: list[Column], n_shards: int = 16, s
         placed = join_bounded(placed, counts.select("shard", "_sh_block", F.coalesce(before, F.lit(0)).alias("_sh_before")), ["shard", "_sh_block"], "inner", TO_BROADCAST)
     else:
         placed = placed.withColumn("_sh_before", F.lit(0))
-    return placed.withColumn("slot", F.col("_sh_before") + F.col("_sh_at")).select(*[df[c] for c in df.columns], "shard", "slot")
+    return placed.withColumn("slot", F.col("_sh_before") + F.col("_sh_at")).select(*df.columns, "shard", "slot")
 
 
 def shard_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, seed: int = 29) -> DataFrame:
