@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: A written table replaces what its making shuffled; texts go to Python in small batches.
+_WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees. One of our own is set only where the session names none."""
@@ -48,8 +51,15 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/vecloom/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = {k: conf.get(k, None) for k in _WHILE_SAVING}
+        for k, v in _WHILE_SAVING.items():
+            conf.set(k, v)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -60,7 +70,6 @@ class Workspace:
         _delete(self.spark, self.root)
 
 
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

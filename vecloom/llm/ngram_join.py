@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import Workspace, join_bounded
-from vecloom.llm.components import connected_components
+from vecloom.llm.components import linked_components
 from vecloom.llm.spans import NO_SPACE, hash_spans, lowered, mix, shingle_hashes, text_slices, word_spans
 
 #: N-grams in more documents than this are ordered after the others.
@@ -37,7 +37,6 @@ LEVEL_BITS = 22
 REPS_TO_BROADCAST = 1_000_000
 #: Cost of one comparison, in keys written.
 COMPARISON = 50.0
-HUB_ROUNDS = 4
 
 _U = np.uint64
 
@@ -165,17 +164,6 @@ def choose_boundary(sizes: dict[int, int], percent: int, mean_list: float) -> in
     return at
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a, b = sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    either = F.size("ga") + F.size("gb") - both
-    return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * either).select("a", "b")
-
-
-def _fit(n_a, n_b, percent: int):
-    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-
-
 def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents whose sets of ``words``-grams have a Jaccard similarity of ``percent`` / 100 or more, closed over links.
 
@@ -206,44 +194,21 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     mean_list = 1 + ((rare[0] or 0) - (rare[1] or 0)) / max(1, sum(c * 2 * (s - need(s, percent) + 2) for s, c in sizes.items()))
     boundary = choose_boundary(sizes, percent, mean_list)
 
-    keys = space.save(texts.mapInArrow(_keys(words, percent, boundary, levels), "key long, cid long, n long"), "keys")
-    shared = keys.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("last")).filter("hub.cid < last").select("key", "hub")
-    shared = space.save(shared, "shared")
-    open_rows = space.save(keys.join(shared, "key").select("key", "cid", "n", "hub").distinct(), "open_0")
-    space.drop("keys", "shared")
-
-    wanted = open_rows.select("cid").distinct()
-    wanted = space.save(classes.join(wanted, "cid", "left_semi").select("cid", "rep"), "wanted")
-    chosen = join_bounded(rows, wanted.select(F.col("rep").alias("of")), F.col("id").eqNullSafe(F.col("of")), "left_semi", REPS_TO_BROADCAST)
-    sets = chosen.select("text").mapInArrow(_grams_of(words), "cid long, grams array<long>")
-    sets = space.save(sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-
-    links, step = None, 0
-    while True:
-        step += 1
-        pairs = open_rows.filter(F.col("cid") != F.col("hub.cid")).filter(_fit(F.col("n"), F.col("hub.n"), percent)).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
-        found = space.save(_verified(pairs, sets, percent), f"links_{step}")
-        links = found if links is None else links.union(found)
-        parts = connected_components(space, links, f"parts_{step}")
-        labelled = open_rows.join(parts, open_rows["cid"] == parts["node"], "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("part"))
-        per_part = labelled.groupBy("key", "part").count().groupBy("key")
-        mixed = per_part.agg(F.count("*").alias("parts"), F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("within")).filter("parts > 1")
-        mixed = space.save(mixed, f"mixed_{step}")
-        left = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("within")) / 2), F.sum("rows")).first()
-        if not left[1]:
-            break
-        rest = labelled.join(mixed.select("key"), "key")
-        if left[0] <= 4 * left[1] or step >= HUB_ROUNDS:
-            rest = space.save(rest, "rest")
-            one, two = rest.toDF("key", "a", "n_a", "part_a"), rest.toDF("key", "b", "n_b", "part_b")
-            across = one.join(two, "key").filter("part_a < part_b").filter(_fit(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-            links = links.union(space.save(_verified(across, sets, percent), "links_across"))
-            parts = connected_components(space, links, "parts_last")
-            break
-        rest = space.save(rest.drop("part"), f"rest_{step}")
-        hubs = rest.groupBy("key").agg(F.min_by(F.struct("cid", "n"), F.xxhash64(F.lit(step), "cid")).alias("hub"))
-        open_rows = space.save(rest.join(space.save(hubs, f"hubs_{step}"), "key").select("key", "cid", "n", "hub"), f"open_{step}")
-    space.drop("sets", "open_0")
+    keys = texts.mapInArrow(_keys(words, percent, boundary, levels), "key long, cid long, n long")
+
+    def sets_of(cids: DataFrame) -> DataFrame:
+        wanted = space.save(classes.join(cids, "cid", "left_semi").select("cid", "rep"), "wanted")
+        chosen = join_bounded(rows, wanted.select(F.col("rep").alias("of")), F.col("id").eqNullSafe(F.col("of")), "left_semi", REPS_TO_BROADCAST)
+        sets = chosen.select("text").mapInArrow(_grams_of(words), "cid long, grams array<long>")
+        return join_bounded(sets, wanted.select("cid"), "cid", "left_semi", REPS_TO_BROADCAST).dropDuplicates(["cid"])
+
+    def least_shared(n_a, n_b):
+        """Heavy sets: what of the overlap cannot lie beyond the prefix that ends first must be shared in the prefixes."""
+        overlap = F.ceil(percent * (n_a + n_b) / F.lit(100 + percent) - 1e-9)
+        beyond = lambda n: F.ceil(percent * n / F.lit(100) - 1e-9) - 1
+        return F.when((n_a > boundary) & (n_b > boundary), overlap - F.greatest(beyond(n_a), beyond(n_b))).otherwise(1)
+
+    parts = linked_components(space, keys, sets_of, percent, least_shared)
 
     named = classes.select("cid", "rep").join(parts, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("part"))
     least = space.save(named.groupBy("part").agg(F.min("rep").alias("component_id")), "least")
