@@ -31,18 +31,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the least id; documents without words all stay."""
     space = Workspace(spark, "near")
-    groups = space.save(ngram_join.similar_groups(docs, words=5, percent=80).filter("n_shingles > 0"), "groups")
-    best = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_crc32")).alias("best"))
-    stay = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.text_crc32").alias("text_crc32"))
-    gone = groups.select("doc_id", "text_crc32").distinct().exceptAll(stay)
-    gone = space.save(gone.select(F.col("doc_id").alias("_vl_id"), F.col("text_crc32").alias("_vl_crc")), "gone")
-    left = join_bounded(docs, gone, docs["doc_id"].eqNullSafe(gone["_vl_id"]) & (_crc() == gone["_vl_crc"]), "left_anti", DECISIONS_TO_BROADCAST)
+    # ids may be null or shared: id and text together name a document, and the least of a group names only that group
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), text.alias("text")).alias("_vl_doc"), "text")
+    groups = space.save(ngram_join.similar_groups(keyed, id_col="_vl_doc", words=5, percent=80).filter("n_shingles > 0").select("_vl_doc.*", F.col("component_id").alias("best")), "groups")
+    other = ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text") == F.col("best.text")))
+    gone = space.save(groups.filter(other).select(F.col("id").alias("_vl_id"), F.col("text").alias("_vl_text")).distinct(), "gone")
+    left = join_bounded(docs, gone, docs["doc_id"].eqNullSafe(gone["_vl_id"]) & (text == gone["_vl_text"]), "left_anti", DECISIONS_TO_BROADCAST)
     # rows alike in id and text are one group: all but one go
-    repeats = groups.groupBy("doc_id", "text_crc32").agg(F.count("*").alias("n")).filter("n > 1")
+    repeats = groups.groupBy("id", "text").agg(F.count("*").alias("n")).filter("n > 1")
     if repeats.limit(1).count():
-        repeats = space.save(repeats.select(F.col("doc_id").alias("_vl_id"), F.col("text_crc32").alias("_vl_crc")), "repeats")
-        same = left["doc_id"].eqNullSafe(repeats["_vl_id"]) & (_crc() == repeats["_vl_crc"])
-        once = join_bounded(left, repeats, same, "left_semi", DECISIONS_TO_BROADCAST).withColumn("_vl_key", _crc())
+        repeats = space.save(repeats.select(F.col("id").alias("_vl_id"), F.col("text").alias("_vl_text")), "repeats")
+        same = left["doc_id"].eqNullSafe(repeats["_vl_id"]) & (text == repeats["_vl_text"])
+        once = join_bounded(left, repeats, same, "left_semi", DECISIONS_TO_BROADCAST).withColumn("_vl_key", text)
         left = join_bounded(left, repeats, same, "left_anti", DECISIONS_TO_BROADCAST).unionByName(once.dropDuplicates(["doc_id", "_vl_key"]).drop("_vl_key"))
     return left.select(*docs.columns)
 

@@ -29,3 +29,11 @@ def test_stages_on_odd_rows(spark):
         assert sorted(map(str, (r.doc_id for r in near.collect()))) == (sorted(["1", "2", "2", "3", "None"]) if some else [])
         for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_contaminated, corpus_pipeline.mix, corpus_pipeline.shard):
             assert stage(spark, docs, DATA).count() <= 2 * len(rows)
+
+
+def test_unrelated_texts_without_id_or_with_one_id_stay(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(None, texts[0]), (7, texts[4]), (8, texts[4]), (9, texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert sorted((str(r.doc_id), r.text) for r in near.collect()) == sorted((str(i), t) for i, t in rows[:8])
