@@ -241,6 +241,15 @@ def test_lines_against_brute_force(spark, empty):
     assert lines.find_lines(empty).count() == 0
 
 
+def test_short_lines_in_the_query(spark, tmp_path):
+    from vecloom.llm import queries
+
+    rows = [(0, "Les.\n\nAll rights reserved.\nx", "s"), (1, "Les.\n\n  All rights reserved.\t\ny", "s"), (2, "Les!\n \nx\nAll rights reserved!\nLes!", "s"), (3, None, "s"), (4, "", "s")]
+    frame(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_long, r.removed_lines) for r in queries.op6_dedup_lines(spark, f"file://{tmp_path}").collect()}
+    assert got == {0: (4, 3, ""), 1: (4, 3, "0,2"), 2: (5, 4, "2,3,4"), 3: (1, 0, ""), 4: (1, 0, "")}
+
+
 # --- 7 --------------------------------------------------------------------------
 
 

@@ -46,7 +46,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.find_lines(table(spark, sf_dir, "documents"), percent=80)
+    found = lines.find_lines(table(spark, sf_dir, "documents"), percent=80, least_chars=1)  # every line that is not blank
     gone = F.array_except("long_lines", "kept_lines")
     return found.select("doc_id", "n_lines", F.size("long_lines").cast("long").alias("n_long"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
 
