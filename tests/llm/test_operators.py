@@ -182,6 +182,31 @@ def test_licences(spark, docs, rows, empty):
     assert licences.find_licences(empty).count() == 0
 
 
+def test_licences_within_longer_texts(spark):
+    bsd = licences.TEMPLATES["BSD-3-Clause"][1].replace(": Redistributions", ":\n\nRedistributions").replace("disclaimer. Redis", "disclaimer.\n\nRedis").replace(". Neither", ".\n\nNeither")
+    code = "\n\n".join(f"def f{k}(x):\n    return x + {k}" for k in range(200))
+    short = licences.TEMPLATES["Apache-2.0"][0]
+    texts = [bsd + "\n\n" + code, f"This tool reads tables and writes them again. {short} It was made by some of us in spring.", code, f"{short[:20]}", short[21:], code + " " + bsd]
+    got = {r.doc_id: {x.licence: x.dice for x in r.licences} for r in licences.find_licences(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got[0]["BSD-3-Clause"] > 0.95 and got[5]["BSD-3-Clause"] > 0.95 and got[1] == {"Apache-2.0": 1.0}
+    assert got[2] == got[3] == got[4] == {}
+
+
+def test_licence_windows_equal_brute_force(spark):
+    rng, template = random.Random(8), "a b c a b d e f g a b"
+    texts = [" ".join(rng.choice("abcdefgx") if rng.random() < 0.3 else w for w in ("x y " + template + " z " + template).split()) for _ in range(60)]
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    other, want = pairs(template.split()), {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        spans = [w[a:b] for a in range(len(w)) for b in range(a + 2, min(len(w), a + 16) + 1)] + [w]
+        want[i] = max(2 * len(pairs(s) & other) / (len(pairs(s)) + len(other)) for s in spans)
+    df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: {x.licence: x.dice for x in r.licences} for r in licences.find_licences(df, templates={"T": [template]}).collect()}
+    assert got == {i: {"T": pytest.approx(v)} if v >= 0.8 else {} for i, v in want.items()}
+    assert 5 < sum(map(bool, got.values())) < 60
+
+
 # --- 5 --------------------------------------------------------------------------
 
 

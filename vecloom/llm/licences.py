@@ -1,10 +1,13 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
 A text is compared as segments: each line, each paragraph (lines up to a blank
-one), and the whole. A segment and a template are sets of bigrams of lower-case
+one), the whole, and every run of words that is no longer than the template may
+match, so a notice is found wherever it lies. A segment and a template are sets of bigrams of lower-case
 words; they match from a Dice coefficient of ``threshold`` on. A template of B
 bigrams can only match a segment of t/(2-t)*B to (2-t)/t*B, so most templates
 fall out by size; segments without a bigram of any template are never counted.
+Runs start at a bigram of the template and are counted only if enough of its
+bigrams lie within reach.
 """
 
 from __future__ import annotations
@@ -67,6 +70,8 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
 
+#: Cells of a table of runs by bigrams that are counted at once.
+WINDOW_CELLS = 1_000_000
 _U = np.uint64
 
 
@@ -74,8 +79,8 @@ def _bigrams(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _U(0x9E3779B97F4A7C15) ^ words[1:])
 
 
-def compiled(templates: dict[str, list[str]]) -> list[tuple[str, np.ndarray]]:
-    """Name and sorted distinct bigrams of every template that has any."""
+def compiled(templates: dict[str, list[str]]) -> list[tuple[str, np.ndarray, int]]:
+    """Name, sorted distinct bigrams and number of bigrams of every template that has any."""
     out = []
     for name, texts in templates.items():
         for text in texts:
@@ -83,7 +88,7 @@ def compiled(templates: dict[str, list[str]]) -> list[tuple[str, np.ndarray]]:
             low = lowered(raw)
             start, stop, _ = word_spans(low, np.array([len(low)]), ALNUM)
             if len(start) > 1:
-                out.append((name, np.unique(_bigrams(hash_spans(low, start, stop)))))
+                out.append((name, np.unique(_bigrams(hash_spans(low, start, stop))), len(start) - 1))
     return out
 
 
@@ -98,11 +103,47 @@ def _segments(low: np.ndarray, ends: np.ndarray, start: np.ndarray, doc: np.ndar
     return [line * (len(ends) + 1) + doc, paragraph * (len(ends) + 1) + doc, doc]
 
 
-def _scan(templates: list[tuple[str, np.ndarray]], threshold: float):
-    vocabulary = np.unique(np.concatenate([b for _, b in templates]))
+def _windows(grams: np.ndarray, doc: np.ndarray, known: np.ndarray, templates: list[tuple[str, np.ndarray, int]], threshold: float) -> Iterator[tuple[int, str, float]]:
+    """Text, licence and best Dice coefficient of the runs of words that start at a bigram of a template.
+
+    ``known`` are the positions of bigrams of any template. A run that does not
+    start and end with a bigram of its template is never better than one that does.
+    """
+    before = None
+    for name, other, length in templates:
+        at = known[np.isin(grams[known], other)]
+        end = np.minimum(at + int(length * (2 - threshold) / threshold + 1e-9), np.searchsorted(doc, doc[at], side="right") - 1)
+        near = np.searchsorted(at, end) - np.arange(len(at))
+        chosen = near >= max(1, len(other) * threshold / (2 - threshold) - 1e-9)
+        if not chosen.any():
+            continue
+        if before is None:  # where each bigram last occurred
+            order = np.argsort(grams, kind="stable")
+            before = np.full(len(grams), -1)
+            same = grams[order[1:]] == grams[order[:-1]]
+            before[order[1:][same]] = order[:-1][same]
+        hit = np.zeros(len(grams), dtype=bool)
+        hit[at] = True
+        starts, ends = at[chosen], end[chosen]
+        reach = np.arange((ends - starts).max())
+        block = max(1, WINDOW_CELLS // len(reach))
+        for k in range(0, len(starts), block):
+            a = starts[k : k + block, None]
+            q = a + reach
+            inside = q < ends[k : k + block, None]
+            q = np.minimum(q, len(grams) - 1)
+            new = inside & (before[q] < a)
+            dice = 2 * np.cumsum(new & hit[q], axis=1) / (np.cumsum(new, axis=1) + len(other))
+            best = dice.max(axis=1)
+            for i in np.flatnonzero(best >= threshold).tolist():
+                yield int(doc[a[i, 0]]), name, float(best[i])
+
+
+def _scan(templates: list[tuple[str, np.ndarray, int]], threshold: float):
+    vocabulary = np.unique(np.concatenate([b for _, b, _ in templates]))
     quick = np.zeros(1 << 16, dtype=bool)
     quick[(vocabulary & _U(0xFFFF)).astype(np.int64)] = True
-    sizes = np.array([len(b) for _, b in templates])
+    sizes = np.array([len(b) for _, b, _ in templates])
 
     def matches(low: np.ndarray, ends: np.ndarray) -> dict[int, dict[str, float]]:
         out: dict[int, dict[str, float]] = {}
@@ -124,11 +165,15 @@ def _scan(templates: list[tuple[str, np.ndarray]], threshold: float):
             for k, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)):
                 own = np.unique(grams[order[a:b]])
                 for t in np.flatnonzero((len(own) * (2 - threshold) >= sizes * threshold) & (len(own) * threshold <= sizes * (2 - threshold))).tolist():
-                    name, other = templates[t]
+                    name, other, _ = templates[t]
                     dice = 2 * len(np.intersect1d(own, other, assume_unique=True)) / (len(own) + len(other))
                     if dice >= threshold:
                         best = out.setdefault(int(doc[order[a]]), {})
                         best[name] = max(best.get(name, 0.0), dice)
+        within = np.flatnonzero(known & (doc[:-1] == doc[1:]))
+        for d, name, dice in _windows(grams, doc, within, templates, threshold):
+            best = out.setdefault(d, {})
+            best[name] = max(best.get(name, 0.0), dice)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
