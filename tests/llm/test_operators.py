@@ -94,6 +94,24 @@ def test_mix_keeps_targets(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mix_small_source_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 400)
+    rng = random.Random(4)
+    small = [(i, "w " * rng.randint(50, 600), "small") for i in range(200)] + [(999, "w " * 20_000, "small")]
+    got = mixing.mix_sources(frame(spark, small + [(2000 + i, "w " * 100, "big") for i in range(1000)]), weights=(1,), share=0.74, cap=2.0).collect()
+    for name in ("small", "big"):
+        own = [r for r in got if r.source == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target
+
+
+def test_landing_turns_over_until_on_target():
+    size = np.array([20_000, *range(50, 250)])
+    given = np.full(201, 0.37)
+    prob = np.array([0.5] + [1.0, 0.0] * 100)
+    out = mixing.landing(size, prob, given)
+    assert abs((out * size).sum() - (prob * size).sum()) <= 50 and not ((out > 0) & (out < 1)).any()
+
+
 def test_flight_balances():
     rng = np.random.default_rng(1)
     size, prob = rng.integers(1, 500, 800), np.full(800, 0.37)

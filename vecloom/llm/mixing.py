@@ -12,7 +12,8 @@ Flights run in groups of bounded size, dealt by a hash of the document, so a
 source with a third of all rows is many groups. What a group leaves open goes
 to the next level, where groups are merged, until one group per source is left;
 its at most two documents are the landing problem, solved by the rounding with
-the least error in words.
+the least error in words. Each source lands at the level where it has one group,
+whatever the size of the others.
 """
 
 from __future__ import annotations
@@ -109,21 +110,21 @@ def landing(size: np.ndarray, prob: np.ndarray, given: np.ndarray) -> np.ndarray
     error = sum(v * float(size[i]) for v, i in zip(best, still, strict=True)) - due
     out[still] = best
     free = np.flatnonzero((given > 0) & (given < 1))
-    for _ in range(4 if len(free) else 0):
+    while len(free):
         turned = error + np.where(out[free] > 0, -1.0, 1.0) * size[free]
         i = int(np.argmin(np.abs(turned)))
-        if abs(turned[i]) >= abs(error):
+        if abs(turned[i]) >= abs(error) - _EPS:
             break
         out[free[i]], error = 1 - out[free[i]], float(turned[i])
     return out
 
 
-def _level(seed: int, level: int, last: bool):
+def _level(seed: int, level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "order"], ascending=[False, True], kind="stable")
         rng = np.random.default_rng([seed, level, *(int(k) for k in key)])
         prob = flight(rows["size"].to_numpy(), rows["prob"].to_numpy(), rng)
-        return rows.assign(prob=landing(rows["size"].to_numpy(), prob, rows["prob"].to_numpy()) if last else prob)
+        return rows.assign(prob=landing(rows["size"].to_numpy(), prob, rows["prob"].to_numpy()) if rows["groups"].iloc[0] <= 1 else prob)
 
     return run
 
@@ -151,20 +152,19 @@ def mix_sources(
     units = join_bounded(sized.withColumn("row", F.row_number().over(ties)), stats.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "inner", SOURCES_TO_BROADCAST)
     order = uniform_key(seed, F.col("id"), F.col("text_crc32"), F.col("row"))
     units = units.select(
-        "id", "row", "source", "text_crc32", "size", "source_size", "target", "rank", F.pmod(order, F.col("groups")).alias("group"), order.alias("order"),
+        "id", "row", "source", "text_crc32", "size", "source_size", "target", "rank", "groups", F.pmod(order, F.col("groups")).alias("group"), order.alias("order"),
         F.floor(rate).alias("base"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0).alias("prob"),
     )
     most = stats.agg(F.max("groups")).first()[0] or 1
     done, level = [], 0
     while True:
-        last = most <= 1
-        moved = units.groupBy("rank", "group").applyInPandas(_level(seed, level, last), units.schema)
+        moved = units.groupBy("rank", "group").applyInPandas(_level(seed, level), units.schema)
         moved = space.save(moved, f"level{level}")
         still = (F.col("prob") > 0) & (F.col("prob") < 1)
         done.append(moved.filter(~still))
-        if last:
+        if most <= 1:
             break
-        units = moved.filter(still).withColumn("group", F.floor(F.col("group") / MERGED_GROUPS))
+        units = moved.filter(still).withColumn("group", F.floor(F.col("group") / MERGED_GROUPS)).withColumn("groups", F.ceil(F.col("groups") / MERGED_GROUPS))
         most, level = -(-most // MERGED_GROUPS), level + 1
     result = done[0]
     for part in done[1:]:
