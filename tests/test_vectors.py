@@ -132,6 +132,26 @@ def test_graph_recall_and_duplicates(items):
     assert 0 not in {r["id"] for r in graph.search(built, x[0].tolist(), 5, 40, deleted={0}).collect()}
 
 
+def test_graph_join_equals_single_searches(items, monkeypatch):
+    monkeypatch.setattr(graph, "QUERY_BLOCK", 2)
+    df, _ = items
+    built = graph.build(df, validate(8, m=8, ef_construction=64), rows_per_shard=150).cache()
+    ask = df.filter("id in (0, 40, 80)").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    got = {(r["query_id"], r["rank"]): r["id"] for r in graph.search_join(built, ask, 4, 40).collect()}
+    for row in ask.collect():
+        single = [r["id"] for r in graph.search(built, row["query_vec"], 4, 40).collect()]
+        assert [got[row["query_id"], k] for k in range(1, 5)] == single
+
+
+def test_graph_recall_is_measured_for_each_hundredth_row(spark):
+    from vecloom.queries import index_graph_recall
+
+    d = "/root/testdata/sf0.01"
+    want = {r[0] for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 100 = 0").select("vec_id").collect()}
+    got = {r["query_id"]: r["recall"] for r in index_graph_recall(spark, d).collect()}
+    assert set(got) == want and sum(got.values()) >= 0.9 * len(want)
+
+
 def test_pq_refined_is_near_exact(items):
     df, x = items
     book = pq.train(df, 4)

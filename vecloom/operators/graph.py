@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.operators.knn import distances
+from vecloom.operators.knn import QUERY_BLOCK, distances
 from vecloom.plans.options import IndexOptions
 
 ROWS_PER_SHARD = 20_000
@@ -157,3 +157,33 @@ def search(graphs: DataFrame, query, k: int, ef: int, *, allowed_ids: set[int] |
                 yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in pairs], pa.int64()), "dist": pa.array([d for _, d in pairs], pa.float64())})
 
     return graphs.mapInArrow(run, "id long, dist double").orderBy("dist", "id").limit(k)
+
+
+def search_join(graphs: DataFrame, queries: DataFrame, k: int, ef: int, *, query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
+    """The ``k`` nearest of all shards for every query row: query_id, id, dist (less is nearer), rank.
+
+    Queries are worked off in blocks of bounded size; a task loads its graph once
+    a block. Null vectors match nothing.
+    """
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).alias("v")).orderBy("q")
+    parts = graphs.sparkSession.createDataFrame([], "query_id long, id long, dist double")
+
+    def found(block: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.select(["graph", "ids"]).to_pylist():
+                    g = Graph.load(row["graph"])
+                    hits = [(q, i, d) for q, v in block for d, n in g.search(np.asarray(v, dtype=np.float64), k, ef) for i in row["ids"][n]]
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([h[0] for h in hits], pa.int64()), "id": pa.array([h[1] for h in hits], pa.int64()), "dist": pa.array([h[2] for h in hits], pa.float64())})
+
+        return graphs.mapInArrow(run, "query_id long, id long, dist double")
+
+    block: list = []
+    for row in asked.toLocalIterator():
+        block.append((row[0], row[1]))
+        if len(block) == QUERY_BLOCK:
+            parts, block = parts.union(found(block)), []
+    if block:
+        parts = parts.union(found(block))
+    best = Window.partitionBy("query_id").orderBy("dist", "id")
+    return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
