@@ -21,12 +21,14 @@ _WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. One of our own is set only where the session names none."""
+    """The folder that every executor sees. One of our own is set only where the session names none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get() if made.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='vecloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -66,6 +68,14 @@ class Workspace:
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")
 
+    def keep(self, name: str) -> None:
+        """Free every table but one."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        for entry in root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root):
+            if entry.getPath().getName() != name:
+                _delete(self.spark, entry.getPath().toString())
+
     def close(self) -> None:
         _delete(self.spark, self.root)
 
@@ -83,3 +93,20 @@ def join_bounded(left: DataFrame, right: DataFrame, on, how: str, rows: int) ->
 def uniform_key(seed: int, *cols: Column) -> Column:
     """A 64-bit pseudo-random key that depends on values only, so that reruns agree."""
     return F.xxhash64(F.lit(seed), *cols)
+
+
+CLASHES_TO_BROADCAST = 200_000
+
+
+def clashes(df: DataFrame) -> DataFrame | None:
+    """The values of ``cid`` that stand for several values of ``check``, or None if there are none."""
+    apart = df.groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("cid", F.lit(True).alias("_clash"))
+    return apart if apart.limit(1).count() else None
+
+
+def settled(df: DataFrame, apart: DataFrame | None) -> DataFrame:
+    """``df`` with a ``cid`` of its own for each ``check``: 64-bit hashes identify only together with another 64 bits."""
+    if apart is None:
+        return df
+    own = F.when(F.col("_clash"), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
+    return join_bounded(df, apart, "cid", "left", CLASHES_TO_BROADCAST).withColumn("cid", own).drop("_clash").select(*df.columns)

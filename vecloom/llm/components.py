@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import Workspace, join_bounded
 
-#: Members of a key from which on they are first compared with a hub, and how often at most.
-BUSY, HUB_ROUNDS = 64, 4
+#: How often members of a list are compared with one member of it before pairs are made.
+HUB_ROUNDS = 4
+#: Rows of two or three 64-bit numbers up to which a table is sent to all tasks: under 20 MB.
 KEYS_TO_BROADCAST = 200_000
 
 
@@ -52,83 +53,57 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
 
 
-def fits(n_a, n_b, percent: int):
-    """Whether sets of these sizes can have a Jaccard similarity of ``percent`` / 100."""
-    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+def linked_components(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame, str], DataFrame], possible: Callable[[str, str], Column]) -> DataFrame:
+    """Components of sets under verified links, where sets that may be linked share a key.
 
+    ``keys``: key, cid, n, room, rank (long), no row twice. ``verify`` makes the
+    linked ones out of a table of pairs a, b; its second argument names scratch
+    tables. ``possible`` says by n and room, under the two prefixes given, whether
+    two members of a key may be linked; it must hold in at least one shared key of
+    every linked pair, and still with a larger room. Returns node, component as
+    ``connected_components`` does; sets without links are left out.
 
-def _verified(space: Workspace, pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, name: str) -> DataFrame:
-    """The pairs whose sets are similar; only sets of these pairs are made and moved."""
-    pairs = space.save(pairs, f"{name}_pairs")
-    met = space.save(pairs.select("a").union(pairs.select("b")).distinct().toDF("cid"), f"{name}_met")
-    sets = space.save(sets_of(met), f"{name}_sets")
-    a, b = sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    either = F.size("ga") + F.size("gb") - both
-    found = space.save(pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * either).select("a", "b"), name)
-    space.drop(f"{name}_pairs", f"{name}_met", f"{name}_sets")
-    return found
-
-
-def linked_components(space: Workspace, keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, least_shared: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Components of sets under links of Jaccard similarity, where sets that may be linked share a key.
-
-    ``keys``: key, cid, n (size of the set); rows may repeat. ``sets_of`` makes,
-    from a table of cid, the table of cid, grams (array of distinct long).
-    ``least_shared`` may bound from below, by two sizes, how many keys similar sets
-    of these sizes share. Returns node, component as ``connected_components`` does; sets without links
-    are left out.
-
-    Keys with the same members are one. In keys of more than ``BUSY`` members,
-    each is first compared with one hub, the one that it meets in most keys;
-    members found in one component need no further comparison, and while this
-    helps, other hubs follow. Then members of a key that lie in different
-    components are compared in pairs, if they share keys enough. So no link that
-    could join components goes unseen.
+    Lists with the same members are one. First each set is compared with one hub,
+    the member of highest rank in one of its lists, the one that it meets most
+    often; then with others drawn at random, while lists with members in several
+    components remain and this helps. Then pairs are made of what lies in
+    different components and may be linked. So a large group of near copies costs
+    about one comparison a member, and no link that could join components goes unseen.
     """
     keys = space.save(keys, "keys")
-    members = keys.repartition("key").dropDuplicates(["key", "cid"]).groupBy("key")
     sign = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"sign{seed}") for seed in (1, 2)]
-    shared = members.agg(F.count("*").alias("rows"), F.min(F.struct("cid", "n")).alias("hub"), *sign).filter("rows > 1")
-    shared = shared.groupBy("rows", "hub", "sign1", "sign2").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "hub", "times", "rows")
+    shared = keys.groupBy("key").agg(F.count("*").alias("rows"), *sign).filter("rows > 1")
     shared = space.save(shared, "shared")
-    open_rows = space.save(join_bounded(keys, shared, "key", "inner", KEYS_TO_BROADCAST).distinct(), "open_0")
-    space.drop("keys", "shared")
-    links = space.spark.createDataFrame([], "a long, b long")
-    parts, busy, step, before = space.spark.createDataFrame([], "node long, component long"), open_rows.filter(F.col("rows") > BUSY), 0, None
+    names = shared.groupBy("rows", "sign1", "sign2").agg(F.min("key").alias("name"))
+    named = space.save(shared.join(names, ["rows", "sign1", "sign2"]).select("key", "name"), "named")
+    rows = join_bounded(keys, named, "key", "inner", KEYS_TO_BROADCAST).groupBy(F.col("name").alias("key"), "cid")
+    rows = space.save(rows.agg(F.first("n").alias("n"), F.max("room").alias("room"), F.first("rank").alias("rank"), F.count("*").alias("times")), "rows_0")
+    space.drop("keys", "shared", "named")
+    links, parts = space.spark.createDataFrame([], "a long, b long"), None
+    open_rows, before, step = rows.withColumn("part", F.col("cid")), None, 0
     while step < HUB_ROUNDS:
-        near = busy.filter((F.col("cid") != F.col("hub.cid")) & fits(F.col("n"), F.col("hub.n"), percent)).select(F.col("cid").alias("b"), F.col("hub.cid").alias("a"), "times")
-        pairs = near.groupBy("b", "a").agg(F.sum("times").alias("times")).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-        if not near.limit(1).count():
-            break
         step += 1
-        links = links.union(_verified(space, pairs.select("a", "b"), sets_of, percent, f"links_{step}"))
+        order = F.struct("rank", "cid") if step == 1 else F.struct(F.xxhash64(F.lit(step), "cid"), F.col("cid"))
+        hubs = open_rows.groupBy("key").agg(F.max_by(F.struct("cid", "n", "room", "part"), order).alias("hub")).select("key", *[F.col(f"hub.{c}").alias(f"{c}_h") for c in ("cid", "n", "room", "part")])
+        hubs = space.save(hubs, f"hubs_{step}")
+        near = open_rows.toDF(*[c if c in ("key", "times") else f"{c}_m" for c in open_rows.columns]).join(hubs, "key").filter(F.col("part_m") != F.col("part_h")).filter(possible("m", "h"))
+        pairs = near.groupBy(F.col("cid_m").alias("b"), F.col("cid_h").alias("a")).agg(F.sum("times").alias("times")).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+        links = links.union(verify(pairs.select("a", "b"), f"hub_{step}"))
         parts = connected_components(space, links, f"parts_{step}")
-        labelled = _labelled(busy, parts)
-        mixed = labelled.groupBy("key", "part").count().groupBy("key").agg(F.count("*").alias("parts"), F.sum("count").alias("members")).filter("parts > 1")
-        mixed = space.save(mixed, f"mixed_{step}")
+        labelled = space.save(_labelled(rows if step == 1 else open_rows.drop("part"), parts), f"labelled_{step}")
+        mixed = space.save(labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members"), f"mixed_{step}")
         left = mixed.agg(F.sum("members")).first()[0] or 0
+        open_rows = space.save(join_bounded(labelled, mixed.select("key"), "key", "left_semi", KEYS_TO_BROADCAST), f"rows_{step}")
+        space.drop(f"rows_{step - 1}", f"labelled_{step}", f"mixed_{step}", f"hubs_{step}")
         if not left or (before is not None and left > 0.8 * before):
             break
         before = left
-        rest = space.save(labelled.join(mixed.select("key"), "key").drop("part", "hub"), f"rest_{step}")
-        hubs = space.save(rest.groupBy("key").agg(F.min_by(F.struct("cid", "n"), F.xxhash64(F.lit(step), "cid")).alias("hub")), f"hubs_{step}")
-        busy = space.save(rest.join(hubs, "key"), f"open_{step}")
-    labelled = _labelled(open_rows, parts)
-    mixed = space.save(labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key"), "mixed")
-    rest = labelled.join(mixed, "key")
-    in_busy = rest.filter(F.col("rows") > BUSY).groupBy("cid").agg(F.sum("times").alias("in_busy"))
-    rest = space.save(rest.join(space.save(in_busy, "in_busy"), "cid", "left").select("key", "rows", "times", "cid", "n", "part", F.coalesce("in_busy", F.lit(0)).alias("in_busy")), "rest")
-    one, two = rest.toDF("key", "rows", "times", "a", "n_a", "part_a", "busy_a"), rest.drop("rows", "times").toDF("key", "b", "n_b", "part_b", "busy_b")
-    due = least_shared(F.col("n_a"), F.col("n_b")) if least_shared is not None else F.lit(1)
-    most = F.least("busy_a", "busy_b")  # keys that the two can share among busy ones
-    # where sets must share more than that, they also meet in a key that is not busy
-    across = one.join(two, "key").filter("part_a < part_b").filter(fits(F.col("n_a"), F.col("n_b"), percent)).filter((F.col("rows") <= BUSY) | (due <= most))
-    across = across.groupBy("a", "b", "n_a", "n_b", "busy_a", "busy_b").agg(F.sum("times").alias("times"))
-    across = across.filter(F.when(due <= most, F.col("times")).otherwise(F.col("times") + most) >= due)
-    links = links.union(_verified(space, across.select("a", "b"), sets_of, percent, "links_across"))
-    parts = connected_components(space, links, "parts")
-    space.drop("rest", "mixed", "in_busy", *[f"open_{k}" for k in range(step + 1)])
+    if left:
+        one, two = (open_rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "room", "part")]) for x in "ab")
+        across = one.join(two, "key").filter(F.col("part_a") < F.col("part_b")).filter(possible("a", "b")).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+        links = links.union(verify(across, "across"))
+        parts = connected_components(space, links, "parts")
+    space.drop(f"rows_{step}")
     return parts
 
 
