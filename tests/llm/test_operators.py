@@ -165,8 +165,30 @@ def components(n, links):
     return [root(i) for i in range(n)]
 
 
+def near_rows(seed=1):
+    """Short texts of few words, and a large group of near copies with edits of their own."""
+    rng, base = random.Random(seed), [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(rng.choices(["ab", "cd", "ef", "gh", f"x{i // 5}"], k=rng.choice([1, 2, 3, 4, 5, 6, 8, 12, 20]))), "s") for i in range(200)]
+    for i in range(200, 400):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            w[rng.randrange(120)] = f"n{rng.randrange(400)}"
+        rows.append((i, " ".join(w[rng.choice([0, 0, 5]) :]), "s"))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent", "bits"), [(3, 30, 64), (3, 50, 64), (2, 67, 64), (5, 80, 64), (4, 85, 7)])
+def test_ngram_join_of_near_copies(spark, n, percent, bits):
+    """Equals brute force at any threshold, also where classes clash in the few bits used."""
+    check_ngram_join(frame(spark, near_rows()), near_rows(), n, percent, class_bits=bits)
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
 def test_ngram_join_equals_brute_force(docs, rows, n, percent):
+    check_ngram_join(docs, rows, n, percent)
+
+
+def check_ngram_join(docs, rows, n, percent, **options):
     sets = [shingled(t, n) for _, t, _ in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     part = components(len(rows), links)
@@ -174,7 +196,7 @@ def test_ngram_join_equals_brute_force(docs, rows, n, percent):
     for p, (i, _, _) in zip(part, rows, strict=True):
         least[p] = min(least.get(p, (True, None)), key(i), key=lambda x: (x[0], x[1] or 0))
     want = sorted(((key(i), len(s), least[p]) for p, (i, _, _), s in zip(part, rows, sets, strict=True)), key=str)
-    got = ngram_join.similar_groups(docs, words=n, percent=percent).collect()
+    got = ngram_join.similar_groups(docs, words=n, percent=percent, **options).collect()
     assert sorted(((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got), key=str) == want
     assert len(links) > 10
 
@@ -279,11 +301,43 @@ def test_lines_against_brute_force(spark, empty):
     got = {r.doc_id: r.kept_lines for r in lines.find_lines(df).collect()}
     missed = sum(got[d] != sorted(want[d]) for d in got)
     assert missed <= 1 and len(got) == len(rows)
+    assert {r.doc_id: r.kept_lines for r in lines.find_lines(df.union(df.filter("doc_id is null"))).collect()} == got
     cleaned = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
     assert cleaned[100] is None and cleaned[101] == "" and all("short" in cleaned[d] for d in range(40))
     assert lines.find_lines(empty).count() == 0
 
 
+def test_repeated_rows_keep_lines_once(spark, monkeypatch):
+    monkeypatch.setattr(lines, "COPIES_PER_TASK", 2)
+    text, other = "a line of some length here\nanother line of some length", "a line of some length here\nx"
+    rows = [(1, text, "s")] * 6 + [(2, text, "s"), (None, other, "s"), (None, other, "s"), (3, "quite another thing that stands alone", "s")]
+    got = sorted((str(r.doc_id), r.long_lines, r.kept_lines) for r in lines.find_lines(frame(spark, rows)).collect())
+    assert got == sorted([("1", [0, 1], [1])] + [("1", [0, 1], [])] * 5 + [("2", [0, 1], []), ("None", [0], [0]), ("None", [0], []), ("3", [0], [0])])
+    left = sorted((str(r.doc_id), r.text) for r in lines.dedup_lines(frame(spark, rows)).collect())
+    assert left == sorted([("1", "another line of some length")] + [("1", "")] * 5 + [("2", ""), ("None", other), ("None", "x"), ("3", rows[-1][1])])
+
+
+def test_line_recall(spark):
+    """Of lines that are similar to an earlier one, the share that goes: lines of every document whose id is divisible by 100, against all."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    rows = df.collect()
+    stripped = [(d, k, x.strip(" \t\r")) for d, t in rows for k, x in enumerate((t or "").split("\n"))]
+    lists, sets = collections.defaultdict(list), {}
+    for d, k, x in stripped:
+        if len(x) >= 24 and x not in sets:
+            sets[x] = frozenset(x[i : i + 8] for i in range(len(x) - 7))
+            for g in sets[x]:
+                lists[g].append((d, k, x))
+    got = {r.doc_id: set(r.kept_lines) for r in lines.find_lines(df).collect()}
+    due = gone = 0
+    for d, k, x in stripped:
+        if d % 100 == 0 and len(x) >= 24:
+            met = collections.Counter(y for g in sets[x] for y in lists[g])
+            if any(y[:2] < (d, k) and 100 * c >= 80 * (len(sets[x]) + len(sets[y[2]]) - c) for y, c in met.items()):
+                due, gone = due + 1, gone + (k not in got[d])
+    assert due > 10 and gone >= 0.9 * due
+
+
 def test_short_lines_in_the_query(spark, tmp_path):
     from vecloom.llm import queries
 

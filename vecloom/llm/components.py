@@ -28,8 +28,8 @@ def connected_components(space: Workspace, edges: DataFrame, label: str) -> Data
     """
     pairs = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current = space.save(pairs, f"{label}_0")
-    seen, step = _fingerprint(current), 0
-    while True:
+    step = 0
+    while not _are_stars(current):
         step += 1
         both = current.union(current.select("v", "u"))
         least = space.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}_least")
@@ -37,28 +37,25 @@ def connected_components(space: Workspace, edges: DataFrame, label: str) -> Data
         large = space.save(large, f"{label}_large")
         below = space.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}_below")
         small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below).distinct()
-        following = space.save(small, f"{label}_{step}")
+        current = space.save(small, f"{label}_{step}")
         space.drop(f"{label}_{step - 1}", f"{label}_least", f"{label}_large", f"{label}_below")
-        now = _fingerprint(following)
-        current = following
-        if now == seen:
-            break
-        seen = now
     roots = current.select(F.col("v").alias("u")).distinct()
     return space.save(current.union(roots.withColumn("m", F.col("u"))).toDF("node", "component"), f"{label}_components")
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs under one node, which itself hangs under none."""
+    several = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("u")
+    inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return not several.union(inner).limit(1).count()
 
 
-def linked_components(space: Workspace, keys: DataFrame, verify: Callable[[DataFrame, str], DataFrame], possible: Callable[[str, str], Column]) -> DataFrame:
+def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]], possible: Callable[[str, str], Column]) -> DataFrame:
     """Components of sets under verified links, where sets that may be linked share a key.
 
-    ``keys``: key, cid, n, room, rank (long), no row twice. ``verify`` makes the
-    linked ones out of a table of pairs a, b; its second argument names scratch
-    tables. ``possible`` says by n and room, under the two prefixes given, whether
+    ``keys``: key, cid, n, room, rank (long), no row twice; read twice. ``prepare`` gets
+    the cids that may be compared and returns what makes the linked ones out of a
+    table of pairs a, b; its second argument names scratch tables. ``possible`` says by n and room, under the two prefixes given, whether
     two members of a key may be linked; it must hold in at least one shared key of
     every linked pair, and still with a larger room. Returns node, component as
     ``connected_components`` does; sets without links are left out.
@@ -70,15 +67,17 @@ def linked_components(space: Workspace, keys: DataFrame, verify: Callable[[DataF
     different components and may be linked. So a large group of near copies costs
     about one comparison a member, and no link that could join components goes unseen.
     """
-    keys = space.save(keys, "keys")
     sign = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"sign{seed}") for seed in (1, 2)]
     shared = keys.groupBy("key").agg(F.count("*").alias("rows"), *sign).filter("rows > 1")
     shared = space.save(shared, "shared")
+    if not shared.limit(1).count():
+        return space.spark.createDataFrame([], "node long, component long")
     names = shared.groupBy("rows", "sign1", "sign2").agg(F.min("key").alias("name"))
     named = space.save(shared.join(names, ["rows", "sign1", "sign2"]).select("key", "name"), "named")
     rows = join_bounded(keys, named, "key", "inner", KEYS_TO_BROADCAST).groupBy(F.col("name").alias("key"), "cid")
     rows = space.save(rows.agg(F.first("n").alias("n"), F.max("room").alias("room"), F.first("rank").alias("rank"), F.count("*").alias("times")), "rows_0")
-    space.drop("keys", "shared", "named")
+    space.drop("shared", "named")
+    verify = prepare(rows.select("cid").distinct())
     links, parts = space.spark.createDataFrame([], "a long, b long"), None
     open_rows, before, step = rows.withColumn("part", F.col("cid")), None, 0
     while step < HUB_ROUNDS:

@@ -223,6 +223,7 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     boundary = choose_boundary(costs, percent)
 
     keys = ordered.select("cid", "n", "grams").mapInArrow(_keys(percent, boundary), "key long, cid long, n long, room long, rank long")
+    keys = space.save(keys, "keys")
 
     def possible(a: str, b: str) -> Column:
         return (100 + percent) * F.least(f"room_{a}", f"room_{b}") >= percent * (F.col(f"n_{a}") + F.col(f"n_{b}"))
@@ -233,7 +234,7 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         linked = pairs.join(of("a"), "a").join(of("b"), "b").filter((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
         return space.save(linked.select("a", "b"), f"links_{label}")
 
-    parts = linked_components(space, keys, verify, possible)
+    parts = linked_components(space, keys, lambda _: verify, possible)
 
     named = classes.select("cid", "rep").join(parts, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("part"))
     least = space.save(named.groupBy("part").agg(F.min("rep").alias("least")), "least")
