@@ -461,8 +461,10 @@ def test_token_file_equals_tokenizer(spark, docs, rows, empty, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    odd = ["two  spaces", " lead", "trail ", "a\n\n b", "tab\tx", "nb sp x", "don't 'tis 12.5 <|endoftext|> é,è.", "x\x85y z", "\r\n q"]
+    odd = ["two  spaces", " lead", "trail ", "a\n\n b", "tab\tx", "nb sp x", "don't 'tis 12.5 <|endoftext|> é,è.", "x\x85y z", "\r\n q", "a <|endoftext|> b", "<|endoftext|>", "two<|endoftext|><|endoftext|> in\na row", "<|endoftext", "|> <|endof text|>"]
+    odd += [None, "<|endoftext|>" * 3]
+    rng, bits = random.Random(11), ["<|endoftext|>", "<|", "|>", " ", "\n", "word", "don't", "é", "12", ".", "endoftext"]
+    odd += ["".join(rng.choices(bits, k=rng.randrange(1, 12))) for _ in range(300)]
     extra = frame(spark, [(2000 + i, t, "s") for i, t in enumerate(odd)])
     all_rows = sorted([*((i, t) for i, t, _ in rows), *((2000 + i, t) for i, t in enumerate(odd))], key=lambda r: (r[0] is not None, r[0], r[1] or ""))
     folder = f"file://{tmp_path}/tokens"

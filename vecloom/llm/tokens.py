@@ -126,14 +126,16 @@ class PieceEncoder:
     The tokenizer never merges across the place before a lone space, nor across a
     lone line end, nor between a letter and a stop. Cut there, texts share most of their pieces; each is encoded
     by the tokenizer once while it is among the last million or so known,
-    and texts are put together from the ids of their pieces.
+    and texts are put together from the ids of their pieces. Texts that hold
+    white space of other kinds or an added token, such as an end mark, are one piece.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of a token: one character stands for each
         for token, i in vocab.items():
@@ -153,7 +155,9 @@ class PieceEncoder:
         n_docs, begins = len(ends), np.concatenate([[0], ends[:-1]])
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(n_docs, np.int64)
-        odd_at = np.array([m.start() for m in _ODD_SPACE.finditer(data.tobytes())], dtype=np.int64)
+        raw = data.tobytes()
+        odd_at = [m.start() for p in (_ODD_SPACE, self.added) if p for m in p.finditer(raw)]
+        odd_at = np.array(odd_at, dtype=np.int64)
         odd = np.unique(np.searchsorted(ends, odd_at, side="right")) if len(odd_at) else odd_at
         dark = data > 32
         alone = np.zeros(len(data), dtype=bool)  # white space between two bytes that are none
@@ -316,11 +320,14 @@ def _blocks(path: str, end_id: int):
 def write_token_file(df: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
     """Encode every text, append ``end_id``, and write blocks in ascending id order; a null id comes first.
 
-    Null and empty texts are one end id each. Rows that share an id follow each
-    other in the order of their texts. Texts are encoded whole, whatever their
+    Null and empty texts are one end id each. Rows that share an id (or have none)
+    follow each other in the order of the first 64 characters of their texts; rows
+    alike in both may lie in several parts, so many of them are no single task's. Texts are encoded whole, whatever their
     length. An empty table gives an empty file. Other columns are ignored.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumns({"head": F.substring("text", 1, 64), "salt": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("id", "head", "salt").sortWithinPartitions("id", "text").select("id", "text")
     rows.mapInArrow(_blocks(tokenizer_path, end_id), BLOCKS).write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
