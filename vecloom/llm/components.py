@@ -50,14 +50,15 @@ def _are_stars(edges: DataFrame) -> bool:
     return not several.union(inner).limit(1).count()
 
 
-def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]], possible: Callable[[str, str], Column]) -> DataFrame:
+def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]], possible: Callable[[str, str], Column], rooms: DataFrame | None = None) -> DataFrame:
     """Components of sets under verified links, where sets that may be linked share a key.
 
     ``keys``: key, cid, n, room, rank (long), no row twice; read twice. ``prepare`` gets
     the cids that may be compared and returns what makes the linked ones out of a
     table of pairs a, b; its second argument names scratch tables. ``possible`` says by n and room, under the two prefixes given, whether
     two members of a key may be linked; it must hold in at least one shared key of
-    every linked pair, and still with a larger room. Returns node, component as
+    every linked pair, and still with a larger room. ``rooms`` (cid, room) replaces
+    the room of keys by one of any type for each set. Returns node, component as
     ``connected_components`` does; sets without links are left out.
 
     Lists with the same members are one. First each set is compared with one hub,
@@ -75,7 +76,10 @@ def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[Data
     names = shared.groupBy("rows", "sign1", "sign2").agg(F.min("key").alias("name"))
     named = space.save(shared.join(names, ["rows", "sign1", "sign2"]).select("key", "name"), "named")
     rows = join_bounded(keys, named, "key", "inner", KEYS_TO_BROADCAST).groupBy(F.col("name").alias("key"), "cid")
-    rows = space.save(rows.agg(F.first("n").alias("n"), F.max("room").alias("room"), F.first("rank").alias("rank"), F.count("*").alias("times")), "rows_0")
+    rows = rows.agg(F.first("n").alias("n"), F.max("room").alias("room"), F.first("rank").alias("rank"), F.count("*").alias("times"))
+    if rooms is not None:
+        rows = rows.drop("room").join(rooms, "cid").select("key", "cid", "n", "room", "rank", "times")
+    rows = space.save(rows, "rows_0")
     space.drop("shared", "named")
     verify = prepare(rows.select("cid").distinct())
     links, parts = space.spark.createDataFrame([], "a long, b long"), None
