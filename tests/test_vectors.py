@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -186,3 +187,17 @@ def test_csv_round_trip(spark, items, tmp_path):
     path = f"file://{tmp_path}/csv"
     files.write_csv(df, path)
     assert sorted(map(str, files.read_csv(spark, path, "id long, vec string, label int").collect())) == sorted(map(str, df.collect()))
+
+
+def test_compaction_keeps_options(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), float(i % 7), 1.0, 0.0]) for i in range(300)], "id long, vec array<float>")
+    c = Catalog(spark, f"file://{tmp_path}")
+    for name, options in {"codes": {"quantizer": "pq", "pq_m": 2, "metric": "cosine"}, "small": {"profile": "embedded", "m": 8}}.items():
+        made = c.create(name, rows, table=name, **options)
+        again = c.delete(name, set(range(100)))
+        assert again.options == made.options and again.path != made.path and again.rows == 200 and not again.deleted
+        assert not os.path.exists(made.path.removeprefix("file://")) and os.path.exists(again.path.removeprefix("file://"))
+    c.create("packed", rows, table="packed", memory_mode="compact")
+    assert len(c.delete("packed", set(range(100))).deleted) == 100
+    with pytest.raises(OptionError):
+        c.compact("packed")

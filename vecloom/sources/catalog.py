@@ -59,8 +59,11 @@ class Catalog:
         if len(dims) > 1:
             raise OptionError("all vectors of an index need the same dimensions")
         checked = validate(dims[0] if dims else 1, profile, **options)
+        return self._put(self._build(name, df, table, id_col, vector_col, dims[0] if dims else 0, checked))
+
+    def _build(self, name: str, df: DataFrame, table: str, id_col: str, vector_col: str, dims: int, checked: IndexOptions) -> Index:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        index = Index(name, table, id_col, vector_col, dims[0] if dims else 0, checked, path, df.filter(F.col(vector_col).isNotNull()).count(), fingerprint(df, id_col, vector_col))
+        index = Index(name, table, id_col, vector_col, dims, checked, path, df.filter(F.col(vector_col).isNotNull()).count(), fingerprint(df, id_col, vector_col))
         rows = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"))
         if checked.quantizer == "pq" and index.rows:
             book = pq.train(rows, checked.pq_m, metric=checked.metric)
@@ -69,7 +72,7 @@ class Catalog:
         if checked.memory_mode != "compact":
             graph.build(rows, checked).write.parquet(f"{path}/graph")
             rows.write.parquet(f"{path}/base")
-        return self._put(index)
+        return index
 
     @property
     def _books(self) -> dict:
@@ -91,10 +94,10 @@ class Catalog:
         return self._put(replace(index, version=index.version + 1, inserted=index.inserted + new.count()))
 
     def delete(self, name: str, ids: set[int]) -> Index:
-        """Mark ids deleted; from a fifth of the rows on, rebuild."""
+        """Mark ids deleted; from a fifth of the rows on, rebuild, unless the index holds codes only."""
         index = self.indexes[name]
         index = self._put(replace(index, version=index.version + 1, deleted=index.deleted | frozenset(ids)))
-        return self.compact(name) if len(index.deleted) >= COMPACT_AT * max(1, index.rows + index.inserted) else index
+        return self.compact(name) if index.options.memory_mode != "compact" and len(index.deleted) >= COMPACT_AT * max(1, index.rows + index.inserted) else index
 
     def update(self, name: str, rows: DataFrame) -> Index:
         """Replace vectors: old ones deleted, new ones added, and the whole rebuilt."""
@@ -106,6 +109,8 @@ class Catalog:
     def rows(self, name: str) -> DataFrame:
         """Rows that are live."""
         index = self.indexes[name]
+        if index.options.memory_mode == "compact":
+            raise OptionError(f"index {name!r} holds codes only; create it anew from its table")
         live = self.spark.read.parquet(f"{index.path}/base")
         for part in self._deltas(index):
             live = live.union(part)
@@ -121,15 +126,19 @@ class Catalog:
         return self._rebuild(self.indexes[name], self.rows(name))
 
     def _rebuild(self, index: Index, rows: DataFrame) -> Index:
-        options = {"m": index.options.m, "ef_construction": index.options.ef_construction, "metric": index.options.metric}
-        del self.indexes[index.name]
-        made = self.create(index.name, rows.withColumnsRenamed({"id": index.id_col, "vec": index.vector_col}), table=index.table, id_col=index.id_col, vector_col=index.vector_col, **options)
+        """The index made anew with the same options; the old one goes once the new one is complete."""
+        rows = rows.withColumnsRenamed({"id": index.id_col, "vec": index.vector_col})
+        made = self._put(self._build(index.name, rows, index.table, index.id_col, index.vector_col, index.dims, index.options))
+        self._delete(index)
         return made
 
-    def drop(self, name: str) -> None:
-        index = self.indexes.pop(name)
+    def _delete(self, index: Index) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._books.pop(index.path, None)
+
+    def drop(self, name: str) -> None:
+        self._delete(self.indexes.pop(name))
 
     def drop_table(self, table: str) -> None:
         for name in [n for n, i in self.indexes.items() if i.table == table]:
