@@ -50,7 +50,7 @@ def _are_stars(edges: DataFrame) -> bool:
     return not several.union(inner).limit(1).count()
 
 
-def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]], possible: Callable[[str, str], Column], rooms: DataFrame | None = None) -> DataFrame:
+def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]], possible: Callable[[str, str], Column], rooms: DataFrame | None = None, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of sets under verified links, where sets that may be linked share a key.
 
     ``keys``: key, cid, n, room, rank (long), no row twice; read twice. ``prepare`` gets
@@ -58,8 +58,10 @@ def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[Data
     table of pairs a, b; its second argument names scratch tables. ``possible`` says by n and room, under the two prefixes given, whether
     two members of a key may be linked; it must hold in at least one shared key of
     every linked pair, and still with a larger room. ``rooms`` (cid, room) replaces
-    the room of keys by one of any type for each set. Returns node, component as
-    ``connected_components`` does; sets without links are left out.
+    the room of keys by one of any type for each set. ``across`` makes, from key, cid, n,
+    room, part, the pairs a, b of different parts that may be linked, in place of a
+    join on the key. Returns node, component as ``connected_components`` does; sets
+    without links are left out.
 
     Lists with the same members are one. First each set is compared with one hub,
     the member of highest rank in one of its lists, the one that it meets most
@@ -102,9 +104,12 @@ def linked_components(space: Workspace, keys: DataFrame, prepare: Callable[[Data
             break
         before = left
     if left:
-        one, two = (open_rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "room", "part")]) for x in "ab")
-        across = one.join(two, "key").filter(F.col("part_a") < F.col("part_b")).filter(possible("a", "b")).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
-        links = links.union(verify(across, "across"))
+        if across is not None:
+            pairs = across(open_rows.select("key", "cid", "n", "room", "part"))
+        else:
+            one, two = (open_rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "room", "part")]) for x in "ab")
+            pairs = one.join(two, "key").filter(F.col("part_a") < F.col("part_b")).filter(possible("a", "b")).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+        links = links.union(verify(pairs.distinct(), "across"))
         parts = connected_components(space, links, "parts")
     space.drop(f"rows_{step}")
     return parts
