@@ -201,3 +201,40 @@ def test_compaction_keeps_options(spark, tmp_path):
     assert len(c.delete("packed", set(range(100))).deleted) == 100
     with pytest.raises(OptionError):
         c.compact("packed")
+
+
+def test_changed_index_is_searched_by_graph(spark, items, tmp_path):
+    df, x = items
+    df = df.filter("id < 300")
+    c = Catalog(spark, f"file://{tmp_path}")
+    c.create("i", df, table="t", m=8, ef_construction=64)
+    c.insert("i", spark.createDataFrame([(900, x[1].tolist()), (901, x[2].tolist())], "id long, vec array<float>"))
+    c.delete("i", {1, 901})
+    live, by_graph = c.rows("i"), SearchSettings(ef_search=100, brute_force_threshold=0, filtered_search="graph")
+    assert c.plan(live, metric="l2", table="t", vector_col="vec", settings=by_graph)[0] == "graph"
+    assert c.plan(df, metric="l2", table="t", vector_col="vec", settings=by_graph)[0] == "exact"
+    for q in (x[1], x[2], x[50]):
+        got = {r["id"] for r in c.topk(live, q.tolist(), 10, table="t", settings=by_graph).collect()}
+        want = {r["id"] for r in knn.knn(live, q.tolist(), 10).collect()}
+        assert len(got & want) >= 9 and not got & {1, 901}
+    assert c.topk(live, x[1].tolist(), 1, table="t", settings=by_graph).first()["id"] == 900
+    few = F.col("id") % 20 == 7
+    got = [r["id"] for r in c.topk(live, x[1].tolist(), 5, table="t", where=few, settings=by_graph).collect()]
+    assert got == [r["id"] for r in knn.knn(live, x[1].tolist(), 5, where=few).collect()]
+    again = Catalog(spark, f"file://{tmp_path}").open()
+    assert again.indexes == c.indexes
+    c.insert("i", spark.createDataFrame([(1, x[1].tolist())], "id long, vec array<float>"))  # comes back after its deletion
+    assert c.rows("i").filter("id = 1").count() == 1 and not c.indexes["i"].deleted
+
+
+def test_codes_of_a_changed_index_after_reopening(spark, items, tmp_path):
+    df, x = items
+    c = Catalog(spark, f"file://{tmp_path}")
+    c.create("i", df, table="t", quantizer="pq", pq_m=8)
+    c.insert("i", spark.createDataFrame([(900, x[5].tolist())], "id long, vec array<float>"))
+    c.delete("i", {5})
+    codes = SearchSettings(brute_force_threshold=0, pq_search_mode="pq_only", pq_refine_k_factor=5.0)
+    again = Catalog(spark, f"file://{tmp_path}").open()
+    live = again.rows("i")
+    assert again.plan(live, metric="l2", table="t", vector_col="vec", settings=codes)[0] == "pq"
+    assert again.topk(live, x[5].tolist(), 1, table="t", settings=codes).first()["id"] == 900

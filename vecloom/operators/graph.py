@@ -8,6 +8,7 @@ Levels are drawn from a hash of the vector, so builds are repeatable.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import io
 import math
@@ -27,17 +28,30 @@ MAX_LEVEL = 15
 
 
 class Graph:
-    """Vectors (prepared for the metric) with neighbours by level; level 0 has up to 2m neighbours, others m."""
+    """Vectors with neighbours by level; level 0 has up to 2m neighbours (4m after the repair), others m."""
 
-    def __init__(self, x: np.ndarray, metric: str, m: int, ef_construction: int, seed: int = 11):
+    def __init__(self, x: np.ndarray, metric: str, m: int, ef_construction: int):
         self.metric, self.m, self.ef = metric, m, ef_construction
         self.x = x
-        u = np.random.default_rng(seed).random(len(x))
+        u = np.array([int.from_bytes(hashlib.blake2b(row.tobytes(), digest_size=6).digest()) for row in np.ascontiguousarray(x)]) / 2.0**48
         self.levels = np.minimum((-np.log(1 - u) / math.log(m)).astype(int), MAX_LEVEL)
         self.links: list[list[list[int]]] = [[[] for _ in range(level + 1)] for level in self.levels.tolist()]
         self.entry = -1
         for i in range(len(x)):
             self._insert(i)
+        self._repair()
+
+    def _repair(self) -> None:
+        """Nodes that fewer than m others link to on level 0 are linked from their own neighbours, which take up to 4m."""
+        base = [node[0] for node in self.links]
+        into = np.bincount([n for own in base for n in own], minlength=len(base))
+        for i in np.flatnonzero(into < self.m).tolist():
+            for n in base[i]:
+                if into[i] >= self.m:
+                    break
+                if i not in base[n] and len(base[n]) < 4 * self.m:
+                    base[n].append(i)
+                    into[i] += 1
 
     def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         return distances(self.x[nodes], q[None], self.metric)[0]
@@ -86,7 +100,7 @@ class Graph:
         for step in range(min(level, top), -1, -1):
             near = self._layer(q, near, self.ef, step)
             most = 2 * self.m if step == 0 else self.m
-            self.links[i][step] = self._diverse(near, self.m)
+            self.links[i][step] = self._diverse(near, most)
             for n in self.links[i][step]:
                 back = self.links[n][step]
                 back.append(i)
@@ -142,48 +156,79 @@ def build(df: DataFrame, options: IndexOptions, *, id_col: str = "id", vector_co
     return nodes.groupBy("shard").applyInPandas(make, "shard int, graph binary, ids array<array<bigint>>")
 
 
-def search(graphs: DataFrame, query, k: int, ef: int, *, allowed_ids: set[int] | None = None, deleted: set[int] | None = None) -> DataFrame:
-    """The ``k`` nearest of all shards: id, dist (less is nearer). Deleted and filtered ids are walked over, not returned."""
-    q, gone = np.asarray(query, dtype=np.float64), deleted or set()
+def _live(graphs: DataFrame, allowed: DataFrame | None, deleted: DataFrame | None) -> DataFrame:
+    """Graphs with the ids that may be returned: all of a shard as null, else those allowed and not deleted."""
+    if allowed is None and deleted is None:
+        return graphs.withColumn("live", F.lit(None).cast("array<bigint>"))
+    members = graphs.select("shard", F.explode(F.flatten("ids")).alias("id"))
+    if allowed is not None:
+        members = members.join(allowed.select(F.col("id").cast("long")), "id", "left_semi")
+    if deleted is not None:
+        members = members.join(deleted.select(F.col("id").cast("long")), "id", "left_anti")
+    return graphs.join(members.groupBy("shard").agg(F.collect_list("id").alias("live")), "shard")
+
+
+class _Shard:
+    """A loaded graph with the ids of its nodes that may be returned."""
+
+    def __init__(self, graph: bytes, ids: list[list[int]], live: list[int] | None):
+        self.graph = Graph.load(graph)
+        passed = None if live is None else set(live)
+        self.ids = ids if passed is None else [[i for i in own if i in passed] for own in ids]
+        self.allowed = None if all(self.ids) else [bool(own) for own in self.ids]
+
+    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[int, float]]:
+        return [(i, d) for d, n in self.graph.search(q, k, ef, self.allowed) for i in self.ids[n][:k]]
+
+
+def _frame(graphs: DataFrame, ids: DataFrame | set[int] | None) -> DataFrame | None:
+    return graphs.sparkSession.createDataFrame([(int(i),) for i in ids], "id long") if isinstance(ids, set | frozenset) else ids
+
+
+def search(graphs: DataFrame, query, k: int, ef: int, *, allowed_ids: DataFrame | set[int] | None = None, deleted: DataFrame | set[int] | None = None) -> DataFrame:
+    """The ``k`` nearest of all shards: id, dist (less is nearer). Deleted and filtered ids are walked over, not returned.
+
+    ``allowed_ids`` and ``deleted`` are tables with a column id, or small sets.
+    """
+    q = np.asarray(query, dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["graph", "ids"]).to_pylist():
-                g = Graph.load(row["graph"])
-                live = [[i for i in ids if i not in gone and (allowed_ids is None or i in allowed_ids)] for ids in row["ids"]]
-                some = all(live) or not any(live)
-                found = g.search(q, k, ef, None if some else [bool(ids) for ids in live])
-                pairs = [(i, d) for d, n in found for i in live[n]]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in pairs], pa.int64()), "dist": pa.array([d for _, d in pairs], pa.float64())})
+            for row in batch.to_pylist():
+                hits = _Shard(row["graph"], row["ids"], row["live"]).search(q, k, ef)
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in hits], pa.int64()), "dist": pa.array([d for _, d in hits], pa.float64())})
 
-    return graphs.mapInArrow(run, "id long, dist double").orderBy("dist", "id").limit(k)
+    shards = _live(graphs, _frame(graphs, allowed_ids), _frame(graphs, deleted)).select("graph", "ids", "live")
+    return shards.mapInArrow(run, "id long, dist double").orderBy("dist", "id").limit(k)
 
 
-def search_join(graphs: DataFrame, queries: DataFrame, k: int, ef: int, *, query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
+def search_join(
+    graphs: DataFrame, queries: DataFrame, k: int, ef: int, *, query_id: str = "query_id", query_vector: str = "query_vec", allowed_ids: DataFrame | set[int] | None = None, deleted: DataFrame | set[int] | None = None
+) -> DataFrame:
     """The ``k`` nearest of all shards for every query row: query_id, id, dist (less is nearer), rank.
 
-    Queries are worked off in blocks of bounded size; a task loads its graph once
-    a block. Null vectors match nothing.
+    Queries are dealt to blocks of about ``QUERY_BLOCK`` by hash; every block meets
+    every shard once, on the executors. Null vectors match nothing.
     """
-    asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).alias("v")).orderBy("q")
-    parts = graphs.sparkSession.createDataFrame([], "query_id long, id long, dist double")
-
-    def found(block: list) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.select(["graph", "ids"]).to_pylist():
-                    g = Graph.load(row["graph"])
-                    hits = [(q, i, d) for q, v in block for d, n in g.search(np.asarray(v, dtype=np.float64), k, ef) for i in row["ids"][n]]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([h[0] for h in hits], pa.int64()), "id": pa.array([h[1] for h in hits], pa.int64()), "dist": pa.array([h[2] for h in hits], pa.float64())})
-
-        return graphs.mapInArrow(run, "query_id long, id long, dist double")
-
-    block: list = []
-    for row in asked.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            parts, block = parts.union(found(block)), []
-    if block:
-        parts = parts.union(found(block))
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    shards = _live(graphs, _frame(graphs, allowed_ids), _frame(graphs, deleted))
+    block = F.pmod(F.xxhash64("q", "v"), F.lit(blocks)).alias("block")
+    dealt = asked.groupBy(block).agg(F.collect_list(F.struct("q", "v")).alias("asked"))
+    every = graphs.agg(F.collect_set("shard").alias("shards"))  # one row, eight bytes a shard
+    dealt = dealt.select("asked", F.explode(every.scalar()).alias("shard"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                if number != (number := row.column(0)[0].as_py()):
+                    shard = _Shard(*(row.column(c)[0].as_py() for c in (1, 2, 3)))
+                hits = [(a["q"], i, d) for a in row.column(4)[0].as_py() for i, d in shard.search(np.array(a["v"]), k, ef)]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([h[0] for h in hits], pa.int64()), "id": pa.array([h[1] for h in hits], pa.int64()), "dist": pa.array([h[2] for h in hits], pa.float64())})
+
+    met = shards.join(dealt, "shard").select("shard", "graph", "ids", "live", "asked")
     best = Window.partitionBy("query_id").orderBy("dist", "id")
-    return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    found = met.mapInArrow(run, "query_id long, id long, dist double")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -40,12 +40,15 @@ class SearchSettings:
     brute_force_threshold: int = 10_000
     pq_search_mode: str = "off"
     pq_refine_k_factor: float = 1.0
+    filtered_search: str = "exact"
 
     def __post_init__(self):
         _range("ef_search", self.ef_search, 1, 65_535)
         _range("brute_force_threshold", self.brute_force_threshold, 0, 1_000_000)
         if self.pq_search_mode not in ("off", "pq_only"):
             raise OptionError(f"pq_search_mode must be off or pq_only, not {self.pq_search_mode!r}")
+        if self.filtered_search not in ("exact", "graph"):
+            raise OptionError(f"filtered_search must be exact or graph, not {self.filtered_search!r}")
         if not 1 <= self.pq_refine_k_factor <= 1000:
             raise OptionError("pq_refine_k_factor must be from 1 to 1000")
 

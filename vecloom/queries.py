@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -290,7 +291,7 @@ def index_pq_refined(spark, d):
 
 @query(_ITEMS + f" SELECT id, round({L2}, 5) + 0.0 AS dist FROM f, g WHERE id <> 3 ORDER BY {L2}, id LIMIT 10")
 def index_after_delete(spark, d):
-    """A changed index is stale, so the search is exact over the live rows."""
+    """Below the threshold of rows a search is exact, over the live rows."""
     items, catalog = _items(spark, d), _catalog(spark)
     catalog.create("items_vec", items, table="items", m=8, ef_construction=32)
     catalog.delete("items_vec", {3})
@@ -305,6 +306,58 @@ def index_after_insert(spark, d):
     return catalog.topk(catalog.rows("items_vec"), _first(items), 10, table="items").select("id", (F.round("dist", 5) + 0.0).alias("dist"))
 
 
+_GRAPH = SearchSettings(ef_search=128, brute_force_threshold=0, filtered_search="graph")
+
+
+def _recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Whether at least nine of ten exact neighbours are found, and how many rows there are."""
+    hit = exact.select("id").join(found.select("id", F.lit(1).alias("hit")), "id", "left")
+    return hit.agg((F.count("hit") >= 0.9 * F.count("*")).alias("recalled"), F.count("*").alias("k"))
+
+
+@query("SELECT true AS recalled, least(count(*), 10) AS k FROM embeddings")
+def index_graph_after_changes(spark, d):
+    """Graph less tombstones plus delta, against the exact search over the live rows."""
+    items, catalog = _items(spark, d), _catalog(spark)
+    catalog.create("items_vec", items, table="items", m=8, ef_construction=64)
+    catalog.insert("items_vec", items.filter("id < 5").withColumn("id", F.col("id") + 1_000_000))
+    catalog.delete("items_vec", {3, 1_000_004})
+    live, q = catalog.rows("items_vec"), _first(items)
+    return _recall(catalog.topk(live, q, 10, table="items", settings=_GRAPH), knn.knn(live, q, 10))
+
+
+@query("SELECT true AS recalled, least(count(*), 10) AS k FROM embeddings WHERE label % 2 = 1")
+def index_graph_filtered(spark, d):
+    """A filter applied while the graph is walked, against the exact search over the rows that pass."""
+    items, catalog = _items(spark, d), _catalog(spark)
+    catalog.create("items_vec", items, table="items", m=8, ef_construction=64)
+    odd, q = F.col("label") % 2 == 1, _first(items)
+    return _recall(catalog.topk(items, q, 10, table="items", where=odd, settings=_GRAPH), knn.knn(items, q, 10, where=odd))
+
+
+@query("SELECT true AS same, 2 AS indexes, least(count(*), 10) AS k FROM embeddings")
+def index_reopened(spark, d):
+    """Indexes opened from their manifests answer as the catalog that made them."""
+    items, made = _items(spark, d), _catalog(spark)
+    made = Catalog(spark, f"{made.folder}/{uuid.uuid4().hex}")
+    made.create("items_vec", items, table="items", m=8, ef_construction=32)
+    made.create("items_codes", items, table="codes", quantizer="pq", pq_m=16)
+    again, q = Catalog(spark, made.folder).open(), _first(items)
+    codes = SearchSettings(brute_force_threshold=0, pq_search_mode="pq_only")
+    found = [c.topk(items, q, 10, table=t, settings=s).select("id").collect() for t, s in (("items", _GRAPH), ("codes", codes)) for c in (made, again)]
+    same = found[0] == found[1] and found[2] == found[3]
+    return spark.createDataFrame([(same, len(again.indexes), len(found[1]))], "same boolean, indexes int, k long")
+
+
+@query(_ITEMS + f", e AS (SELECT id FROM f, g ORDER BY {L2}, id LIMIT 10) SELECT true AS recalled, count(*) AS k FROM e")
+def index_pq_recall(spark, d):
+    """A tenth of the rows at most, chosen by codes, holds nine of the exact ten nearest."""
+    items = _items(spark, d)
+    book, q = pq.train(items, 32), _first(items)
+    found = pq.search(pq.encode(items, book), book, q, 10, refine=items, factor=max(1.0, items.count() / 100))
+    return _recall(found, knn.knn(items, q, 10))
+
+
 @query("SELECT 'items_vec' AS index_name, 'items' AS table_name, 64 AS dims, 'cosine' AS metric, 8 AS m, 32 AS ef_construction, 'none' AS quantizer, count(*) AS n_rows FROM embeddings")
 def index_info(spark, d):
     catalog = _catalog(spark)

@@ -1,8 +1,10 @@
 """Vector indexes as directories of Parquet: base graph, delta of inserts, tombstones, a one-row manifest.
 
 Every change writes new files and then a new manifest version, so readers see
-one snapshot. A table that no longer matches the manifest's fingerprint is
-searched exactly.
+one snapshot, and a new session can open what an older one made. A changed index
+is searched as base graph less tombstones, plus the delta, which is searched
+exactly. A table that does not match the fingerprint of the index's live rows is
+searched exactly as a whole.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +27,16 @@ COMPACT_AT = 0.2
 
 def fingerprint(df: DataFrame, id_col: str, vector_col: str) -> list[int]:
     """Count, greatest id, checksums of ids and of vectors, of rows that have a vector."""
-    rows = df.filter(F.col(vector_col).isNotNull())
-    got = rows.agg(F.count("*"), F.coalesce(F.max(id_col), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(id_col)), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(id_col, vector_col)), F.lit(0))).first()
+    rows = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"))
+    got = rows.agg(F.count("*"), F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("id")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("id", "vec")), F.lit(0))).first()
     return [int(x) for x in got]
 
 
+def _joined(a: list[int], b: list[int]) -> list[int]:
+    """Fingerprint of the rows of both."""
+    return [a[0] + b[0], max(a[1], b[1]), a[2] ^ b[2], a[3] ^ b[3]]
+
+
 @dataclass(frozen=True)
 class Index:
     name: str
@@ -52,6 +60,29 @@ class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.indexes = spark, folder.rstrip("/"), {}
 
+    def open(self) -> Catalog:
+        """Take up all indexes of the folder that have a complete manifest, each at its latest version."""
+        for path in self._children(self.folder):
+            versions = [int(p.rsplit("-", 1)[1]) for p in self._children(path) if p.rsplit("/", 1)[1].startswith("manifest-") and self._exists(f"{p}/_SUCCESS")]
+            if versions:
+                kept = json.loads(self.spark.read.parquet(f"{path}/manifest-{max(versions)}").first()["manifest"])
+                options = IndexOptions(**kept.pop("options"))
+                index = Index(**kept | {"options": options, "deleted": frozenset(kept["deleted"])})
+                self.indexes[index.name] = index
+        return self
+
+    def _fs(self, path: str):
+        made = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), made
+
+    def _exists(self, path: str) -> bool:
+        fs, made = self._fs(path)
+        return fs.exists(made)
+
+    def _children(self, path: str) -> list[str]:
+        fs, made = self._fs(path)
+        return [f"{path}/{s.getPath().getName()}" for s in fs.listStatus(made)] if fs.exists(made) else []
+
     def create(self, name: str, df: DataFrame, *, table: str, id_col: str = "id", vector_col: str = "vec", profile: str = "columnar", **options) -> Index:
         if name in self.indexes:
             raise OptionError(f"index {name!r} exists")
@@ -68,6 +99,8 @@ class Catalog:
         if checked.quantizer == "pq" and index.rows:
             book = pq.train(rows, checked.pq_m, metric=checked.metric)
             self._books[path] = book
+            stored = (book.metric, list(book.centroids.shape), np.ascontiguousarray(book.centroids, dtype="<f8").tobytes())
+            self.spark.createDataFrame([stored], "metric string, shape array<int>, centroids binary").coalesce(1).write.parquet(f"{path}/codebook")
             pq.encode(rows, book).write.parquet(f"{path}/codes")
         if checked.memory_mode != "compact":
             graph.build(rows, checked).write.parquet(f"{path}/graph")
@@ -78,6 +111,12 @@ class Catalog:
     def _books(self) -> dict:
         return self.__dict__.setdefault("_codebooks", {})
 
+    def _book(self, index: Index) -> pq.Codebook:
+        if index.path not in self._books:
+            metric, shape, raw = self.spark.read.parquet(f"{index.path}/codebook").select("metric", "shape", "centroids").first()
+            self._books[index.path] = pq.Codebook(np.frombuffer(bytes(raw), dtype="<f8").reshape(shape), metric)
+        return self._books[index.path]
+
     def _put(self, index: Index) -> Index:
         self.indexes[index.name] = index
         manifest = asdict(index) | {"deleted": sorted(index.deleted)}
@@ -87,16 +126,23 @@ class Catalog:
     def insert(self, name: str, rows: DataFrame) -> Index:
         """Add rows (id, vector) to the delta, which is searched exactly. Null vectors are skipped."""
         index = self.indexes[name]
+        if index.deleted and rows.filter(F.col(index.vector_col).isNotNull()).join(self._gone(index), F.col(index.id_col) == F.col("gone"), "left_semi").limit(1).count():
+            index = self.compact(name)  # an id that comes back must not meet its own tombstone
         new = rows.filter(F.col(index.vector_col).isNotNull()).select(F.col(index.id_col).cast("long").alias("id"), F.col(index.vector_col).alias("vec"))
         if new.filter(F.size("vec") != index.dims).limit(1).count():
             raise OptionError(f"vectors of index {name!r} have {index.dims} dimensions")
+        new = new.withColumn("vec", F.col("vec").cast(self._type(index)))
         new.write.parquet(f"{index.path}/delta-{index.version + 1}")
-        return self._put(replace(index, version=index.version + 1, inserted=index.inserted + new.count()))
+        new = self.spark.read.parquet(f"{index.path}/delta-{index.version + 1}")
+        mark = fingerprint(new, "id", "vec")
+        return self._put(replace(index, version=index.version + 1, inserted=index.inserted + mark[0], mark=_joined(index.mark, mark) if index.mark else []))
 
     def delete(self, name: str, ids: set[int]) -> Index:
         """Mark ids deleted; from a fifth of the rows on, rebuild, unless the index holds codes only."""
         index = self.indexes[name]
-        index = self._put(replace(index, version=index.version + 1, deleted=index.deleted | frozenset(ids)))
+        index = self._put(replace(index, version=index.version + 1, deleted=index.deleted | frozenset(ids), mark=[]))
+        if index.options.memory_mode != "compact":
+            index = self._put(replace(index, mark=fingerprint(self.rows(name), "id", "vec")))
         return self.compact(name) if index.options.memory_mode != "compact" and len(index.deleted) >= COMPACT_AT * max(1, index.rows + index.inserted) else index
 
     def update(self, name: str, rows: DataFrame) -> Index:
@@ -114,13 +160,19 @@ class Catalog:
         live = self.spark.read.parquet(f"{index.path}/base")
         for part in self._deltas(index):
             live = live.union(part)
-        return live.filter(~F.col("id").isin(*index.deleted)) if index.deleted else live
+        return self._less(index, live)
+
+    def _type(self, index: Index) -> str:
+        return dict(self.spark.read.parquet(f"{index.path}/base").dtypes)["vec"] if index.options.memory_mode != "compact" else "array<float>"
+
+    def _gone(self, index: Index) -> DataFrame:
+        return self.spark.createDataFrame([(int(i),) for i in sorted(index.deleted)], "gone long")
+
+    def _less(self, index: Index, rows: DataFrame) -> DataFrame:
+        return rows.join(self._gone(index), F.col("id") == F.col("gone"), "left_anti") if index.deleted else rows
 
     def _deltas(self, index: Index) -> list[DataFrame]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(index.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [self.spark.read.parquet(p) for v in range(2, index.version + 1) if fs.exists(jvm.org.apache.hadoop.fs.Path(p := f"{index.path}/delta-{v}"))]
+        return [self.spark.read.parquet(p) for v in range(2, index.version + 1) if self._exists(p := f"{index.path}/delta-{v}")]
 
     def compact(self, name: str) -> Index:
         return self._rebuild(self.indexes[name], self.rows(name))
@@ -133,8 +185,8 @@ class Catalog:
         return made
 
     def _delete(self, index: Index) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._fs(index.path)
+        fs.delete(path, True)
         self._books.pop(index.path, None)
 
     def drop(self, name: str) -> None:
@@ -145,7 +197,7 @@ class Catalog:
             self.drop(name)
 
     def stale(self, index: Index, df: DataFrame) -> bool:
-        return index.inserted > 0 or bool(index.deleted) or fingerprint(df, index.id_col, index.vector_col) != index.mark
+        return fingerprint(df, index.id_col, index.vector_col) != index.mark
 
     def info(self) -> DataFrame:
         """One row for each index."""
@@ -165,22 +217,41 @@ class Catalog:
         if plan == "exact":
             rows = df if where is None else df.filter(where)
             return knn(rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")), query, k, metric=metric).select("id", "dist")
+        base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"))
         if plan == "pq":
-            codes, book = self.spark.read.parquet(f"{index.path}/codes"), self._books[index.path]
-            factor = settings.pq_refine_k_factor
-            base = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")) if factor > 1 and index.options.memory_mode == "full" else None
-            return pq.search(codes, book, query, k, refine=base, factor=factor)
-        found = graph.search(self.spark.read.parquet(f"{index.path}/graph"), query, k, settings.effective_ef(k), deleted=set(index.deleted))
-        return found if metric_of(metric)[1] else found.withColumn("dist", -F.col("dist"))
+            book, factor = self._book(index), settings.pq_refine_k_factor
+            codes = self.spark.read.parquet(f"{index.path}/codes")
+            for part in self._deltas(index):
+                codes = codes.union(pq.encode(part, book))
+            refine = base if factor > 1 and index.options.memory_mode == "full" else None
+            return pq.search(self._less(index, codes), book, query, k, refine=refine, factor=factor)
+        allowed = None if where is None else df.filter(where).select(F.col(id_col).cast("long").alias("id"))
+        gone = self._gone(index).withColumnRenamed("gone", "id") if index.deleted else None
+        found = graph.search(self.spark.read.parquet(f"{index.path}/graph"), query, k, settings.effective_ef(k), allowed_ids=allowed, deleted=gone)
+        found = found if metric_of(metric)[1] else found.withColumn("dist", -F.col("dist"))
+        for part in self._deltas(index):
+            part = self._less(index, part) if allowed is None else self._less(index, part).join(allowed, "id", "left_semi")
+            found = found.union(knn(part, query, k, metric=metric).select("id", "dist"))
+        nearer = F.col("dist").asc() if metric_of(metric)[1] else F.col("dist").desc()
+        return found.orderBy(nearer, "id").limit(k)
 
     def plan(self, df: DataFrame, *, metric: str, table: str, vector_col: str, where=None, settings: SearchSettings) -> tuple[str, Index | None]:
-        """exact, graph or pq, and the index used. A filtered search is exact, over the rows that pass."""
+        """exact, graph or pq, and the index used, the first that fits and is fresh.
+
+        A filtered search is exact, over the rows that pass, unless the settings ask
+        for the graph; then the walk passes over rows that the filter leaves out.
+        """
         fits = [i for i in self.indexes.values() if i.table == table and i.vector_col == vector_col and i.options.metric == {"negative_ip": "ip"}.get(metric, metric)]
-        if settings.pq_search_mode == "pq_only" and fits and fits[0].options.quantizer != "pq":
+        codes = settings.pq_search_mode == "pq_only"
+        if codes and fits and not any(i.options.quantizer == "pq" for i in fits):
             raise OptionError("pq_only needs an index with quantizer pq")
-        if not fits or where is not None or fits[0].rows < settings.brute_force_threshold or self.stale(fits[0], df):
-            return "exact", None
-        return ("pq" if settings.pq_search_mode == "pq_only" or fits[0].options.memory_mode == "compact" else "graph"), fits[0]
+        fits = [i for i in fits if (i.options.quantizer == "pq" if codes else True) and i.rows + i.inserted >= settings.brute_force_threshold]
+        if where is not None:
+            fits = [i for i in fits if settings.filtered_search == "graph" and not codes and i.options.memory_mode != "compact"]
+        for index in fits:
+            if not self.stale(index, df):
+                return ("pq" if codes or index.options.memory_mode == "compact" else "graph"), index
+        return "exact", None
 
     def explain(self, df: DataFrame, k: int, **asked) -> str:
         settings = asked.pop("settings", None) or SearchSettings()
