@@ -275,6 +275,33 @@ def test_phrases_equal_brute_force(spark, docs, rows, empty):
     assert phrases.find_phrases(docs, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_phrases_near_and_exact_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from vecloom.llm.queries import op5_decontaminate, oracle_sql
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passages = [rng.sample(vocabulary, n) for n in (14, 25, 10, 6, 30)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 5, 60])))) for i in range(60)] + [(900, None), (901, "")]
+    for i in range(60):
+        w = list(passages[i % 5])
+        for at in rng.sample(range(len(w)), i // 5 % 4):
+            w[at] = rng.choice(["replaced", *vocabulary])
+        docs.append((100 + i, " ".join([*rng.choices(vocabulary, k=i % 7), *w, "end"])))
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(7, " ".join([*passages[0][:9], "nowhere", *passages[0][9:]])), (8, "nowhere at all"), (9, None)]
+    con = duckdb.connect()
+    for name, rows, types in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, types).coalesce(1).write.parquet(f"file://{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got, want = op5_decontaminate(spark, f"file://{tmp_path}"), con.sql(oracle_sql()["op5_decontaminate"])
+    assert sorted(got.columns) == sorted(want.columns)
+    want = sorted(tuple(r[want.columns.index(c)] for c in got.columns) for r in want.fetchall())
+    got = got.collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert sum(r["n_near_items"] > 0 for r in got) >= 10 and any(r["contaminated"] for r in got)
+
+
 # --- 6 --------------------------------------------------------------------------
 
 

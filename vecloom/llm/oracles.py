@@ -11,7 +11,7 @@ _ALNUM_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F
 _WORDS = f"regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+')"
 
 
-def decontaminate(window: int) -> str:
+def decontaminate(window: int, near: int) -> str:
     return f"""
 WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, {_ALNUM_WORDS} AS w FROM benchmark),
@@ -20,10 +20,16 @@ lens AS (SELECT DISTINCT len(g) AS n FROM win),
 occ AS (SELECT doc_id, i, n, w[i:i + n - 1] AS g FROM d, lens, unnest(range(1, len(w) - n + 2)) AS t(i)),
 hit AS (SELECT DISTINCT doc_id, i, n, item FROM occ JOIN win USING (g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+freq AS (SELECT t, count(*) AS c FROM (SELECT unnest(w) AS t FROM d) GROUP BY t),
+placed AS (SELECT g, i - 1 AS o, g[i] AS t FROM (SELECT DISTINCT g FROM win), unnest(range(1, len(g) + 1)) AS u(i)),
+anchor AS (SELECT g, a.t AS t FROM (SELECT g, min({{'c': c, 'o': o, 't': t}}) AS a, count(DISTINCT t) AS present FROM placed JOIN freq USING (t) GROUP BY g) WHERE present >= least({near}, len(list_distinct(g)))),
+post AS (SELECT doc_id, w[i] AS t, w[greatest(i - {window - 1}, 1):i + {window - 1}] AS around FROM d, unnest(range(1, len(w) + 1)) AS t(i) WHERE w[i] IN (SELECT t FROM anchor)),
+near AS (SELECT DISTINCT doc_id, item FROM post JOIN anchor USING (t) JOIN win USING (g) WHERE len(list_intersect(g, around)) >= least({near}, len(list_distinct(g)))),
+nrs AS (SELECT doc_id, count(*) AS n_near_items FROM (SELECT doc_id, item FROM near EXCEPT SELECT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nrs USING (doc_id)"""
 
 
 def ngram_join(words: int, percent: int) -> str:

@@ -2,7 +2,7 @@
 
 Training texts are tokenised once into a stored table. The corpus frequency of
 every benchmark term is counted, and each window of benchmark words is anchored
-at its rarest term. The index stores the postings of anchor terms: document,
+at the rarest of its terms that occur; one with fewer than ``near`` such terms is out. The index stores the postings of anchor terms: document,
 position, and the tokens around it as far as a window can reach. Probing joins
 windows with the postings of their anchor; the offset-adjusted comparison with
 the window's other terms, rarest first by choice of the anchor, is local to the
@@ -11,7 +11,8 @@ no lists of their own, and the join gives one row per posting, not one per
 window and posting. All of it is DataFrame operations.
 
 A proximity match is an anchor with at least ``near`` of the window's distinct
-words within reach of a window, without being an exact match.
+words within reach of a window, without being an exact match. A passage in which
+just the anchor itself was replaced is not one.
 """
 
 from __future__ import annotations
@@ -64,9 +65,10 @@ def find_phrases(
     terms = space.save(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     counted = join_bounded(store.select(F.explode("words").alias("term")), terms, "term", "left_semi", TERMS_TO_BROADCAST).groupBy("term").count()
     counted = space.save(counted, "frequencies")
-    placed = windows.select("words", "items", F.posexplode("words").alias("offset", "term")).join(counted, "term", "left")
-    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), F.col("offset"), F.col("term"))).alias("rarest")
-    anchored = placed.groupBy("words").agg(rarest, F.first("items").alias("items")).filter("rarest.count > 0")
+    placed = windows.select("words", "items", F.posexplode("words").alias("offset", "term")).join(counted, "term")
+    rarest = F.min(F.struct("count", "offset", "term")).alias("rarest")
+    anchored = placed.groupBy("words").agg(rarest, F.first("items").alias("items"), F.count_distinct("term").alias("present"))
+    anchored = anchored.filter(F.col("present") >= F.least(F.lit(near), F.size(F.array_distinct("words"))))
     anchors = anchored.groupBy(F.col("rarest.term").alias("term")).agg(F.collect_list(F.struct("words", "items", F.col("rarest.offset").alias("offset"))).alias("windows"))
     anchors = space.save(anchors, "anchors")
 

@@ -38,10 +38,11 @@ def op4_find_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrases.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    found = phrases.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, near=8)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -89,5 +90,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_find_secrets": oracles.find_secrets(),
         "op3_ngram_join": oracles.ngram_join(4, 85),
-        "op5_decontaminate": oracles.decontaminate(10),
+        "op5_decontaminate": oracles.decontaminate(10, 8),
     }
