@@ -238,3 +238,11 @@ def test_codes_of_a_changed_index_after_reopening(spark, items, tmp_path):
     live = again.rows("i")
     assert again.plan(live, metric="l2", table="t", vector_col="vec", settings=codes)[0] == "pq"
     assert again.topk(live, x[5].tolist(), 1, table="t", settings=codes).first()["id"] == 900
+
+
+@pytest.mark.parametrize("text", ["SELECT 'a <-> b'", 'SELECT 1 AS "a <-> b"', "SELECT 1 AS `a <-> b`", "SELECT 1 -- it's a <-> b\n", "SELECT /* a <-> b */ 1", r"SELECT 'it\'s a <-> b'"])
+def test_operators_in_quotes_and_comments_stay(text):
+    from vecloom.plans.operators import rewrite
+
+    assert rewrite(text) == text
+    assert "<->" not in rewrite("SELECT 1, a <-> b -- it's\n")

@@ -215,6 +215,12 @@ def _both(name: str, text: str) -> None:
 
 
 _both("sql_operator_l2", "SELECT vec_id, round(vec <-> q, 6) + 0.0 AS dist FROM v, q ORDER BY vec <-> q, vec_id LIMIT 7")
+_named("sql_operator_cosine", lambda spark, d: _sql(spark, d, "SELECT vec_id, round(vec <=> q, 6) + 0.0 AS dist FROM v, q"), V + " SELECT vec_id, round(list_cosine_distance(vec, q), 6) + 0.0 AS dist FROM v, q")
+_named(
+    "sql_operator_negative_ip",
+    lambda spark, d: _sql(spark, d, "SELECT vec_id, round(vec <#> q, 6) + 0.0 AS dist, round(vec <~> q, 6) + 0.0 AS same FROM v, q"),
+    V + " SELECT vec_id, round(list_negative_inner_product(vec, q), 6) + 0.0 AS dist, round(list_negative_inner_product(vec, q), 6) + 0.0 AS same FROM v, q",
+)
 _both("sql_scalar_subquery", "SELECT vec_id FROM v CROSS JOIN (SELECT q FROM q) t ORDER BY l2_distance(vec, t.q), vec_id LIMIT 8")
 _both("sql_cte", "WITH t AS (SELECT vec_id, label, l2_distance(vec, q) AS dist FROM v, q ORDER BY dist, vec_id LIMIT 20) SELECT label, count(*) AS n, round(min(dist), 6) + 0.0 AS nearest FROM t GROUP BY label")
 _both("sql_join_after", "WITH t AS (SELECT vec_id, l2_distance(vec, q) AS dist FROM v, q ORDER BY dist, vec_id LIMIT 10) SELECT t.vec_id, d.lang, d.source FROM t JOIN documents d ON d.doc_id = t.vec_id")
