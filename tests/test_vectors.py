@@ -133,6 +133,24 @@ def test_graph_recall_and_duplicates(items):
     assert 0 not in {r["id"] for r in graph.search(built, x[0].tolist(), 5, 40, deleted={0}).collect()}
 
 
+def unlike_lengths(n, dims):
+    """Vectors of lengths 1 to 10 in all directions: the short ones are near to all others."""
+    x = np.random.default_rng(5).normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1)[:, None] * (1 + np.arange(n)[:, None] % 10)
+
+
+def test_graph_recall_where_some_are_near_to_all():
+    x = unlike_lengths(1200, 48)
+    g, odd = graph.Graph(x, "l2", 8, 32), np.arange(1200) % 2 == 1
+    for allowed in (None, odd):
+        hits = 0
+        for q in range(0, 1200, 20):
+            far = np.linalg.norm(x - x[q], axis=1)
+            exact = np.argsort(far if allowed is None else np.where(odd, far, np.inf))[:10]
+            hits += len({n for _, n in g.search(x[q], 10, 40, None if allowed is None else odd.tolist())} & set(exact.tolist()))
+        assert hits >= 0.95 * 600
+
+
 def test_graph_join_equals_single_searches(items, monkeypatch):
     monkeypatch.setattr(graph, "QUERY_BLOCK", 2)
     df, _ = items
