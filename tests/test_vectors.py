@@ -151,6 +151,21 @@ def test_graph_recall_where_some_are_near_to_all():
         assert hits >= 0.95 * 600
 
 
+def test_checked_search_of_a_changed_index_is_exact(spark, tmp_path):
+    x = unlike_lengths(300, 48).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    c = Catalog(spark, f"file://{tmp_path}")
+    c.create("i", df, table="t", m=2, ef_construction=4)
+    c.insert("i", spark.createDataFrame([(1000 + i, x[i].tolist()) for i in range(5)], "id long, vec array<float>"))
+    c.delete("i", {3, 1004})
+    live, walked = c.rows("i"), SearchSettings(ef_search=1, brute_force_threshold=0, exact_check=True)
+    assert c.plan(live, metric="l2", table="t", vector_col="vec", settings=walked)[0] == "graph"
+    for q in (0, 3, 109):
+        got = [tuple(r) for r in c.topk(live, x[q].tolist(), 10, table="t", settings=walked).collect()]
+        assert got == [tuple(r) for r in knn.knn(live, x[q].tolist(), 10).select("id", "dist").collect()]
+    assert c.topk(live, x[0].tolist(), 400, table="t", settings=walked).count() == 303  # 300 and 5, less 2
+
+
 def test_graph_join_equals_single_searches(items, monkeypatch):
     monkeypatch.setattr(graph, "QUERY_BLOCK", 2)
     df, _ = items

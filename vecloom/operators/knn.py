@@ -45,6 +45,19 @@ def within(df: DataFrame, query, radius: float, *, metric: str = "l2", vector_co
     return rows.filter(F.col(distance) <= radius if ascending else F.col(distance) >= radius)
 
 
+def checked(rows: DataFrame, found: DataFrame, query, k: int, *, metric: str = "l2") -> DataFrame:
+    """id, dist of the exact ``k`` nearest rows (id, vec), from a small table ``found`` of candidates (id).
+
+    The candidates are measured; then every row that is no farther than the k-th of
+    them is ranked, in one scan. So the result does not depend on the candidates,
+    only on how many rows are ranked. Fewer than ``k`` candidates bound nothing.
+    """
+    best = knn(rows.join(F.broadcast(found.select("id")), "id", "left_semi"), query, k, metric=metric)
+    n, far = best.agg(F.count("dist"), F.max("dist") if metric_of(metric)[1] else F.min("dist")).first()
+    near = rows if n < k or not k else within(rows, query, far, metric=metric).drop("dist")
+    return knn(near, query, k, metric=metric).select("id", "dist")
+
+
 def knn_by_group(df: DataFrame, query, k: int, group: str, *, metric: str = "l2", id_col: str = "id", vector_col: str = "vec", distance: str = "dist") -> DataFrame:
     """The ``k`` nearest rows of every group; the rank filter lets each task keep k rows a group before the exchange."""
     measure, ascending = metric_of(metric)

@@ -41,6 +41,7 @@ class SearchSettings:
     pq_search_mode: str = "off"
     pq_refine_k_factor: float = 1.0
     filtered_search: str = "exact"
+    exact_check: bool = False
 
     def __post_init__(self):
         _range("ef_search", self.ef_search, 1, 65_535)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.operators import graph, pq
-from vecloom.operators.knn import knn, metric_of
+from vecloom.operators.knn import checked, knn, metric_of
 from vecloom.plans.options import IndexOptions, OptionError, SearchSettings, validate
 
 #: Share of deleted rows from which on an index is rebuilt.
@@ -212,7 +212,11 @@ class Catalog:
         return self.info().filter(F.col("index_name") == name).selectExpr("stack(7, 'dims', string(dims), 'metric', metric, 'm', string(m), 'ef_construction', string(ef_construction), 'quantizer', quantizer, 'rows', string(n_rows), 'deleted', string(n_deleted)) as (attribute, content)")
 
     def topk(self, df: DataFrame, query, k: int, *, metric: str = "l2", table: str, id_col: str = "id", vector_col: str = "vec", where=None, settings: SearchSettings | None = None) -> DataFrame:
-        """id and dist of the ``k`` nearest: by an index that fits and is fresh, else exactly."""
+        """id and dist of the ``k`` nearest: by an index that fits and is fresh, else exactly.
+
+        With the setting ``exact_check`` what the graph finds is checked by a scan
+        of ``df``, and the result is exact.
+        """
         settings, (plan, index) = settings or SearchSettings(), self.plan(df, metric=metric, table=table, vector_col=vector_col, where=where, settings=settings or SearchSettings())
         if plan == "exact":
             rows = df if where is None else df.filter(where)
@@ -232,6 +236,9 @@ class Catalog:
         for part in self._deltas(index):
             part = self._less(index, part) if allowed is None else self._less(index, part).join(allowed, "id", "left_semi")
             found = found.union(knn(part, query, k, metric=metric).select("id", "dist"))
+        if settings.exact_check:
+            live = df if where is None else df.filter(where)
+            return checked(live.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")), found.select("id"), query, k, metric=metric)
         nearer = F.col("dist").asc() if metric_of(metric)[1] else F.col("dist").desc()
         return found.orderBy(nearer, "id").limit(k)
 
