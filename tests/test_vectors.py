@@ -195,6 +195,14 @@ def test_pq_refined_is_near_exact(items):
     assert set(got) == set(nearest(x, x[5].astype(float), 5))
 
 
+def test_pq_refined_exactly_needs_no_wide_factor(items):
+    df, x = items
+    book = pq.train(df, 1)
+    for q in range(0, 300, 60):
+        got = [r["id"] for r in pq.search(pq.encode(df, book), book, x[q].tolist(), 5, refine=df, exact=True).collect()]
+        assert got == [r["id"] for r in knn.knn(df, x[q].tolist(), 5).collect()]
+
+
 def test_catalog_life(spark, items, tmp_path):
     df, x = items
     c = Catalog(spark, f"file://{tmp_path}")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.operators.knn import knn, matrix
+from vecloom.operators.knn import checked, knn, matrix
 
 #: Rows that codebooks are trained on, at most.
 SAMPLE_ROWS = 16_384
@@ -93,8 +93,12 @@ def distance_table(book: Codebook, query: np.ndarray) -> np.ndarray:
     return np.stack([-(c @ p) for p, c in zip(parts, book.centroids, strict=True)])
 
 
-def search(codes: DataFrame, book: Codebook, query, k: int, *, refine: DataFrame | None = None, factor: float = 1.0, id_col: str = "id", vector_col: str = "vec") -> DataFrame:
-    """The ``k`` nearest by codes: id, dist. With ``refine`` (the vectors), k * factor candidates are measured exactly."""
+def search(codes: DataFrame, book: Codebook, query, k: int, *, refine: DataFrame | None = None, factor: float = 1.0, exact: bool = False, id_col: str = "id", vector_col: str = "vec") -> DataFrame:
+    """The ``k`` nearest by codes: id, dist. With ``refine`` (the vectors), k * factor candidates are measured exactly.
+
+    With ``exact`` too, one scan of ``refine`` adds the rows that codes left out
+    and that are no farther than the k-th candidate.
+    """
     table = distance_table(book, query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,5 +115,8 @@ def search(codes: DataFrame, book: Codebook, query, k: int, *, refine: DataFrame
     if refine is None:
         return found.limit(k)
     metric = {"ip": "negative_ip"}.get(book.metric, book.metric)
+    if exact:
+        rows = refine.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"))
+        return checked(rows, found, query, k, metric=metric)
     candidates = refine.join(F.broadcast(found.select(F.col("id").alias("_id"))), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec"))
     return knn(candidates, query, k, metric=metric).select("id", "dist")
