@@ -518,3 +518,16 @@ def test_hashes_of_spans():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_groups_of_near_copies_are_compared_by_their_nearest_pair_first():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 400
+    cols = {"key": np.zeros(n), "one": np.zeros(n), "two": np.zeros(n), "block": np.zeros(n), "cid": np.arange(n), "part": np.arange(n) % 2, "n": np.full(n, 60)}
+    cols |= {c: np.arange(n) == 7 if c == "word_0" else np.zeros(n) for c in lines._WORDS}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v.astype(np.int64)) for c, v in cols.items()})
+    pairs = {best: [(a, b) for out in lines._across(80, best)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)] for best in (True, False)}
+    assert pairs[True] == [(0, 1)]
+    assert len(pairs[False]) == len(set(pairs[False])) == n * n // 4
