@@ -520,14 +520,30 @@ def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
-def test_groups_of_near_copies_are_compared_by_their_nearest_pair_first():
-    import numpy as np
-    import pyarrow as pa
-
-    n = 400
-    cols = {"key": np.zeros(n), "one": np.zeros(n), "two": np.zeros(n), "block": np.zeros(n), "cid": np.arange(n), "part": np.arange(n) % 2, "n": np.full(n, 60)}
-    cols |= {c: np.arange(n) == 7 if c == "word_0" else np.zeros(n) for c in lines._WORDS}
-    batch = pa.RecordBatch.from_pydict({c: pa.array(v.astype(np.int64)) for c, v in cols.items()})
-    pairs = {best: [(a, b) for out in lines._across(80, best)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)] for best in (True, False)}
-    assert pairs[True] == [(0, 1)]
-    assert len(pairs[False]) == len(set(pairs[False])) == n * n // 4
+def test_groups_of_near_copies_are_compared_by_their_nearest_pair_first(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vecloom.llm.common import Workspace
+
+    n, words = 400, [0] * lines.WORDS
+    rows = spark.createDataFrame([(0, i, i % 2, [*([3, *words[1:]] if i == 7 else words), 60, 60]) for i in range(n)], "key long, cid long, part long, room array<long>")
+    for block in (1024, 50):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        near = lines._pairs_in_blocks(Workspace(spark, "test"), 80, rows)
+        best = near.groupBy("one", "two").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").collect()
+        pairs = near.select("a", "b").collect()
+        assert [tuple(r) for r in best] == [(0, 1)]
+        assert len(pairs) == len(set(pairs)) == n * n // 4
+
+
+def test_lines_are_signed_and_verified_without_python(spark, monkeypatch):
+    from vecloom.llm.common import Workspace
+
+    plans, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df, name))
+    rng = random.Random(11)
+    base = "".join(rng.choices("abcdefgh éß😀ж", k=200))
+    rows = [(0, base, "s"), (1, base[:100] + "Q" + base[101:], "s"), (2, "".join(rng.choices("xyzw漢字", k=200)), "s"), (3, "".join(c if k % 20 else "#" for k, c in enumerate(base)), "s"), (4, "😀" * 300, "s"), (5, "😀" * 290, "s")]
+    got = {r.doc_id: r.kept_lines for r in lines.find_lines(frame(spark, rows)).collect()}
+    assert got == {0: [0], 1: [], 2: [0], 3: [0], 4: [0], 5: []}
+    assert len(plans) > 10 and not any(word in plan for plan in plans for word in ("Arrow", "Python", "Pandas"))
